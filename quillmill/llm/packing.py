@@ -13,6 +13,7 @@ Null texts count as empty: they have the end id alone. Repeated rows are packed
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -29,36 +30,33 @@ from quillmill.runtime import materialize, prepare, release
 
 GRAIN = 8
 #: Words whose ids a worker remembers before it starts afresh.
-MEMO = 500_000
-#: The linear program stops when its value is proved to be within this share of the least.
-GAP = 5e-4
+MEMO = 900_000
+#: The linear program stops when its value is proved to be within this share of the least, or after so many columns;
+#: less than one sequence is never worth a step.
+GAP, COLUMNS = 5e-4, 4000
+#: Share of the best prices so far in the prices that a new column is sought for.
+SMOOTH = 0.9
 
 
 class WordEncoder:
-    """Ids of a vocabulary whose encoding of a text joins those of the words that its pattern cuts out.
+    """Ids of a vocabulary whose pattern never joins characters across white space.
 
-    Each distinct word is encoded by the ``tokenizers`` library once; texts with special strings, or a file with other
-    parts than those handled here, go to the library whole.
+    Each distinct word between white space is encoded by the ``tokenizers`` library once, as it stands in the text; texts
+    with special strings or separators that the two sides see differently go to the library whole, and so does every text
+    where the file has other parts than those handled here.
     """
 
-    SPACE = r"\t-\r \x85\xa0  -     　"
-
     def __init__(self, path: str):
-        import json
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.whole = re.compile("|".join(["[\x1c-\x1f]", *(re.escape(t["content"]) for t in spec["added_tokens"])]))
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and steps[0].get("type") == "Split" and steps[0].get("invert") and not spec["post_processor"]
-        if self.by_word:
-            self.words = regex.compile(steps[0]["pattern"]["Regex"].replace(r"[^\s", f"[^{self.SPACE}")).findall
+        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and steps[0].get("type") == "Split" and bool(steps[0].get("invert")) and not spec["post_processor"]
         self.memo: dict[str, bytes] = {}
 
     @staticmethod
@@ -69,22 +67,18 @@ class WordEncoder:
         """Little-endian 32-bit ids of each text."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        out, memo = [], self.memo
+        memo, found = self.memo, []
         for text in texts:
-            if not self.by_word or self.special.search(text):
-                out.append(self.pack(self.library.encode(text, add_special_tokens=False).ids))
-                continue
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            found = self.words(text.lower())
-            try:
-                out.append(b"".join(map(memo.__getitem__, found)))
-            except KeyError:
-                new = [w for w in set(found) if w not in memo]
-                for word, ids in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                    memo[word] = self.pack(ids.ids)
-                out.append(b"".join(map(memo.__getitem__, found)))
-        return out
+            if not self.by_word or self.whole.search(text):
+                found.append(None)
+            elif text.isascii():
+                found.append(text.lower().split())
+            else:  # the library's lower case knows no final sigma
+                found.append(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split())
+        new = [w for w in {w for words in found if words for w in words} if w not in memo]
+        for word, ids in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            memo[word] = self.pack(ids.ids)
+        return [self.pack(self.library.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(memo.__getitem__, w)) for t, w in zip(texts, found, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -140,7 +134,7 @@ def knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def solve(demand: np.ndarray, capacity: int, gap: float = GAP, most: int = 6000) -> list[tuple[np.ndarray, int]]:
+def solve(demand: np.ndarray, capacity: int, gap: float = GAP, most: int = COLUMNS) -> list[tuple[np.ndarray, int]]:
     """Patterns (pieces by length in units) and how often each is used; together they hold the demand exactly."""
     sizes = np.flatnonzero(demand[1:]) + 1
     left, out = demand.astype(np.int64).copy(), []
@@ -149,15 +143,27 @@ def solve(demand: np.ndarray, capacity: int, gap: float = GAP, most: int = 6000)
         per = capacity // sizes
         basis = np.diag(per.astype(float))
         inverse, x = np.diag(1.0 / per), demand[sizes] / per
+        centre, least = sizes / capacity, float(sizes @ demand[sizes]) / capacity
         for step in range(most):
             if step % 200 == 199:  # clears what rounding has gathered
                 inverse = np.linalg.inv(basis)
                 x = np.maximum(inverse @ demand[sizes], 0)
             price = inverse.sum(0)
-            value = np.full(capacity + 1, -1.0)
-            value[sizes] = price
-            worth, pattern = knapsack(value, capacity)
-            if worth <= 1 + 1e-9 or 1 - 1 / worth < gap:  # the least is at least the value / worth
+            # Prices swing from basis to basis; those between them and the best seen lead to better columns.
+            gain, share = 0.0, SMOOTH
+            while gain <= 1 + 1e-9:
+                mixed = share * centre + (1 - share) * price
+                value = np.full(capacity + 1, -1.0)
+                value[sizes] = mixed
+                worth, pattern = knapsack(value, capacity)
+                gain = float(price @ pattern[sizes])
+                bound = float(mixed @ demand[sizes]) / max(worth, 1e-9)  # prices over worth are feasible in the dual program
+                if bound > least:
+                    least, centre = bound, mixed / worth
+                if share == 0:
+                    break
+                share = 0.0 if share < 0.3 else share - 0.3
+            if gain <= 1 + 1e-9 or x.sum() - least < max(gap * x.sum(), 1):
                 break
             column = pattern[sizes].astype(float)
             move = inverse @ column
