@@ -19,3 +19,14 @@ reach AS (SELECT a AS doc_id, a AS other FROM edges UNION SELECT r.doc_id, e.b F
 SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles, coalesce(min(r.other), c.doc_id) AS component_id, c.doc_id = coalesce(min(r.other), c.doc_id) AS kept
 FROM classes c LEFT JOIN reach r ON r.doc_id = c.doc_id GROUP BY c.doc_id, c.n
 """
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import langid, neardup, oracles, packing, tokencount
+from quillmill.llm import langid, media, neardup, oracles, packing, tokencount, vafile
 from quillmill.runtime import table
 
 
@@ -16,6 +16,14 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -35,10 +43,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op3_media": op3_media,
+    "op4_exact_top_k": op4_exact_top_k,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op4_exact_top_k": oracles.TOP_K,
 }
