@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import langid, media, neardup, oracles, packing, tokencount, vafile
+from quillmill.llm import langid, media, neardup, oracles, packing, passages, tokencount, vafile
 from quillmill.runtime import table
 
 
@@ -16,6 +16,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), least_words=50)
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_repeated_passages": op2_repeated_passages,
     "op3_media": op3_media,
     "op4_exact_top_k": op4_exact_top_k,
     "op6_token_counts": op6_token_counts,
