@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import langid, media, neardup, oracles, packing, passages, tokencount, vafile
+from quillmill.llm import langid, media, mixing, neardup, oracles, packing, passages, tokencount, vafile
 from quillmill.runtime import table
 
 
@@ -28,6 +28,15 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+#: Shares of all tokens that the mix aims at.
+TARGETS = {"high": 0.6, "low": 0.36, "toxic": 0.04}
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.domain_of_labels(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labelled, TARGETS)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -50,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repeated_passages": op2_repeated_passages,
     "op3_media": op3_media,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op10_packing": op10_packing,
