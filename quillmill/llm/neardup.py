@@ -7,7 +7,8 @@ number of equal samples, and a candidate whose count would need fewer equal samp
 (DEVIATIONS below the mean) is dropped; all others are confirmed on the full sets.
 
 In a band each class is first held against the smallest of its bucket. Only classes that are still in different components
-after that are held against each other, so that a large group of copies costs as many comparisons as it has members.
+after that are held against each other, so that a large group of copies costs as many comparisons as it has members. These
+comparisons take place in tiles of TILE x TILE members at most, on the sketches alone, and only pairs that pass become rows.
 
 With 50 bands of 6 samples a link at 0.8 is missed with probability 3e-7, and a pair at 0.1 meets with 5e-5.
 """
@@ -27,7 +28,9 @@ from quillmill.llm.components import components
 from quillmill.llm.shingles import mix, shingle_sets
 from quillmill.runtime import materialize, prepare, release
 
-BANDS, ROWS, SKETCH_BITS, DEVIATIONS = 50, 6, 2048, 7
+BANDS, ROWS, SKETCH_BITS, DEVIATIONS, TILE = 50, 6, 2048, 6, 512
+#: Keys of texts that are read again for the full sets are broadcast up to this many, else joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 _SAMPLES, _STRIDE, _TEXTS = BANDS * ROWS, 4096, 4_000_000
 
 
@@ -115,18 +118,81 @@ def _differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are links: by size, then by sketch, then on the full sets."""
+def _by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that can be links by size and sketch."""
     side = lambda c: classes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    near = materialize(near.where(_differing("sketch_a", "sketch_b") <= sketch_limit(percent / 100)).select("a", "b", "n_a", "n_b"))
-    wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_sets(texts.join(wanted, texts.doc_id == wanted.id, "left_semi").dropDuplicates(["doc_id"]), words))
-    full = near.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b")), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    links = materialize(full.withColumn("both", shared).where(f"100 * both >= {percent} * (n_a + n_b - both)").select("a", "b"))
-    release(near, sets)
+    return near.where(_differing("sketch_a", "sketch_b") <= sketch_limit(percent / 100)).select("a", "b", "n_a", "n_b")
+
+
+def _across(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of different components in a bucket that can be links by size and sketch.
+
+    apart: band, members (of the bucket), doc_id, component, n_shingles, sketch. A bucket's members are dealt into blocks, and
+    each two blocks meet in a tile of their own.
+    """
+    limit = sketch_limit(percent / 100)
+    blocks = F.ceil(F.col("members") / TILE).cast("int")
+    dealt = apart.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "component", "n_shingles", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def pairs(rows: pa.Table) -> pa.RecordBatch | None:
+            band, lo, hi, block, ids, component, n = (rows.column(i).to_numpy().astype(np.int64) for i in range(7))
+            sketch = rows.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+            found = []
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                left = np.arange(begin, end)[block[begin:end] == lo[begin]]
+                right = left if lo[begin] == hi[begin] else np.arange(begin, end)[block[begin:end] == hi[begin]]
+                for at in range(0, len(left), 64):
+                    x = left[at : at + 64]
+                    fits = (component[x][:, None] != component[right]) & (100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right]))
+                    if lo[begin] == hi[begin]:
+                        fits &= ids[x][:, None] < ids[right]
+                    i, j = np.nonzero(fits)
+                    if len(i):
+                        near = np.bitwise_count(sketch[x[i]] ^ sketch[right[j]]).sum(axis=1, dtype=np.int64) <= limit
+                        found.append(np.stack([x[i[near]], right[j[near]]]))
+            if not found:
+                return None
+            i, j = np.concatenate(found, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[i], ids[j], n[i], n[j])], ["a", "b", "n_a", "n_b"])
+
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, now]) if held is not None else now
+            if not rows.num_rows:
+                continue
+            # The last tile may go on in the next batch.
+            same = np.ones(rows.num_rows, bool)
+            for c in ("band", "lo", "hi"):
+                value = rows.column(c).to_numpy()
+                same &= value == value[-1]
+            last = int(same.argmax())
+            held = rows.slice(last)
+            if last and (out := pairs(rows.slice(0, last))):
+                yield out
+        if held is not None and (out := pairs(held)):
+            yield out
+
+    return tiles.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a long, b long, n_a long, n_b long")
+
+
+def _confirmed(near: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, n_a, n_b) that are links on the full sets."""
+    near = materialize(near)
+    wanted = materialize(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct())
+    few = wanted.count() <= BROADCAST_KEYS
+    again = texts.join(F.broadcast(wanted) if few else wanted, texts.doc_id == wanted.id, "left_semi")
+    sets = materialize(_sets(again, words))
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"set_{c}"))
+    full = near.join(side("a"), "a").join(side("b"), "b")
+    links = materialize(full.withColumn("both", F.size(F.array_intersect("set_a", "set_b"))).where(f"100 * both >= {percent} * (n_a + n_b - both)").select("a", "b").distinct())
+    release(near, sets, wanted)
     return links
 
 
@@ -148,17 +214,16 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     member = classes.select("doc_id", F.explode("bands").alias("band"))
     buckets = member.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(member.join(buckets, "band").select("band", "first", "doc_id", "n"))
-    links = _confirmed(shared.where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), classes, texts, words, percent)
+    starred = shared.where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    links = _confirmed(_by_sketch(starred, classes, percent), texts, words, percent)
     reached = materialize(components(links))
 
     # Classes of a bucket that are in different components still, apart from the bucket's first.
     label = shared.where("n > 2 and doc_id != first").join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     label = materialize(label)
-    mixed = label.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-    apart = materialize(label.join(mixed, "band", "left_semi"))
-    x, y = apart.alias("x"), apart.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = _confirmed(pairs, classes, texts, words, percent)
+    mixed = label.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("band", "members")
+    apart = materialize(label.join(mixed, "band"))
+    more = _confirmed(_across(apart.join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id"), percent).distinct(), texts, words, percent)
     if more.isEmpty():
         final = reached
     else:
