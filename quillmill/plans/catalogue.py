@@ -1,10 +1,541 @@
-"""Queries over the test tables, one for each operator, with the SQL that they are held against."""
+"""Queries over the test tables, one for each operator, with the SQL that they are held against.
+
+The SQL is written for DuckDB and shares only the fixtures with the Spark side.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmill.functions import quality as Q
+from quillmill.functions import text as T
+from quillmill.functions.embedding import HashProvider, embed
+from quillmill.operators import chunking as C
+from quillmill.operators import costs, index, pages, search
+from quillmill.plans.fixtures import fixture, with_clause
+from quillmill.runtime import prepare, table
+from quillmill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *fixtures: str) -> Callable:
+    """Registers a query under its function's name; sql may use the fixtures."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        name = f.__name__
+        QUERIES[name] = lambda spark, sf_dir: f(prepare(spark), sf_dir)
+        if sql is not None:
+            head = with_clause(*fixtures) if fixtures else ""
+            ORACLE_SQL[name] = f"{head}, {sql[4:]}" if head and sql.startswith("WITH") else f"{head} {sql}".strip()
+        return f
+
+    return register
+
+
+col = F.col
+documents = lambda spark, sf_dir: table(spark, sf_dir, "documents")
+
+# SQL pieces. WI is white space inside a class of RE2, and S(x) strips it.
+WI = r"\t-\r\x1c-\x20\x{85}\p{Z}"
+
+
+def S(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[{WI}]+', ''), '[{WI}]+$', '')"
+
+
+def N(x: str) -> str:
+    """Number of words."""
+    return f"CAST(len(list_filter(regexp_split_to_array({x}, '[{WI}]+'), lambda w: w <> '')) AS INTEGER)"
+
+
+NFC = "nfc_normalize(x)"
+LIG = "replace(replace(replace(replace(replace(replace(replace({}, 'ﬀ','ff'),'ﬁ','fi'),'ﬂ','fl'),'ﬃ','ffi'),'ﬄ','ffl'),'ﬅ','st'),'ﬆ','st')"
+STAGES = f"""s1 AS (SELECT doc_id, x, {NFC} AS a FROM dirty), s2 AS (SELECT *, {LIG.format("a")} AS b FROM s1),
+s3 AS (SELECT *, replace(b, '­', '') AS c FROM s2), s4 AS (SELECT *, translate(c, '“”‘’', '""''''') AS d FROM s3),
+s5 AS (SELECT *, replace(replace(d, '–', '-'), '—', '--') AS e FROM s4),
+s6 AS (SELECT *, regexp_replace(e, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS f FROM s5),
+s7 AS (SELECT *, {S("regexp_replace(regexp_replace(f, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS g FROM s6)"""
+
+
+@query(f"WITH {STAGES} SELECT doc_id, g AS norm FROM s7", "dirty")
+def normalize_text(spark, sf_dir):
+    return fixture(spark, sf_dir, "dirty").select("doc_id", T.normalize(col("x")).alias("norm"))
+
+
+@query(f"WITH {STAGES} SELECT doc_id, array_to_string(list_filter([CASE WHEN a <> x THEN 'unicode_NFC' END, CASE WHEN b <> a THEN 'ligatures' END, CASE WHEN c <> b THEN 'soft_hyphens' END, CASE WHEN d <> c THEN 'quotes' END, CASE WHEN e <> d THEN 'dashes' END, CASE WHEN f <> e THEN 'control_chars' END, CASE WHEN g <> f THEN 'whitespace' END], lambda t: t IS NOT NULL), ',') AS changes FROM s7", "dirty")
+def normalize_changes(spark, sf_dir):
+    return fixture(spark, sf_dir, "dirty").select("doc_id", F.array_join(T.normalize_changes(col("x")), ",").alias("changes"))
+
+
+@query(f"WITH {STAGES} SELECT doc_id, CAST(length(x) AS INTEGER) AS chars_before, CAST(length(g) AS INTEGER) AS chars_after, g <> x AS was_modified, round((1 - length(g) / length(x)) * 100, 6) AS reduction_pct FROM s7", "dirty")
+def normalize_stats(spark, sf_dir):
+    out = T.normalize(col("x"))
+    return fixture(spark, sf_dir, "dirty").withColumn("g", out).select("doc_id", F.length("x").alias("chars_before"), F.length("g").alias("chars_after"), (col("g") != col("x")).alias("was_modified"), F.round(T.reduction_percent(col("x"), col("g")), 6).alias("reduction_pct"))
+
+
+@query(f"SELECT doc_id, {S("regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS x FROM dirty", "dirty")
+def embed_normalize(spark, sf_dir):
+    return fixture(spark, sf_dir, "dirty").select("doc_id", T.normalize_for_embedding(col("x")).alias("x"))
+
+
+@query(r"SELECT doc_id, regexp_replace(x, '([a-zA-Z])-\n([a-zA-Z])', '\1\2', 'g') AS repaired, CAST(len(regexp_extract_all(x, '([a-zA-Z])-\n([a-zA-Z])')) AS INTEGER) AS hyphen_joins FROM hyphened", "hyphened")
+def hyphen_join(spark, sf_dir):
+    return fixture(spark, sf_dir, "hyphened").select("doc_id", T.join_hyphens(col("x")).alias("repaired"), T.count_hyphens(col("x")).alias("hyphen_joins"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM wrapped),
+m AS (SELECT *, regexp_replace(line, '[{WI}]+$', '') AS own, {S("lead(line) OVER (PARTITION BY doc_id ORDER BY i)")} AS nxt FROM l),
+n AS (SELECT *, own <> '' AND NOT regexp_matches(own, '^[{WI}]*([•‣◦⁃∙]|[-*]|\\p{{Nd}}+[.)]|[a-zA-Z][.)]) ') AND length(own) < 40 AND coalesce(nxt, '') <> '' AND NOT regexp_matches(nxt, '^[•*-]') AND NOT regexp_matches(own, '[.!?:;]$') AS soft FROM m)
+SELECT doc_id, string_agg(CASE WHEN soft THEN own || ' ' ELSE own END, chr(10) ORDER BY i) AS repaired, CAST(count(*) FILTER (soft) AS INTEGER) AS soft_wrap_joins FROM n GROUP BY doc_id""",
+    "wrapped",
+)
+def soft_wrap(spark, sf_dir):
+    return fixture(spark, sf_dir, "wrapped").select("doc_id", T.mark_soft_wraps(col("x")).alias("repaired"), T.count_soft_wraps(col("x")).alias("soft_wrap_joins"))
+
+
+PAGE_NUMBER = f"^([0-9]+|[Pp]age[{WI}]+[0-9]+|-[{WI}]*[0-9]+[{WI}]*-|[0-9]+[{WI}]*/[{WI}]*[0-9]+)$"
+
+
+@query(f"SELECT DISTINCT source, {S('line')} AS line FROM (SELECT source, unnest(string_split(page, chr(10))) AS line FROM paged) WHERE regexp_matches({S('line')}, '{PAGE_NUMBER}')", "paged")
+def page_number_lines(spark, sf_dir):
+    return pages.page_number_lines(fixture(spark, sf_dir, "paged"), "source")
+
+
+HEAD = f"(p <> '' AND length(p) <= 120 AND regexp_matches(p, '^(#{{1,6}}[{WI}]+[^\\n]|[A-Z][A-Z{WI}]{{4,}}(?m:$)|\\p{{Nd}}+\\.\\p{{Nd}}*[{WI}]+[A-Z]|(?i:Chapter|Section|Part)[{WI}]+\\p{{Nd}})'))"
+TITLED = "select doc_id, case doc_id % 5 when 0 then concat('# ', substring(text,1,40)) when 1 then upper(substring(text,1,60)) when 2 then concat('1.2 ', substring(text,1,50)) when 3 then concat('section 3 ', substring(text,1,30)) else text end as t from {documents}"
+
+
+@query(f"SELECT doc_id, {HEAD} AS is_header FROM (SELECT doc_id, {S('t')} AS p FROM ({TITLED.replace('{documents}', 'documents')}))")
+def section_headers(spark, sf_dir):
+    return spark.sql(TITLED, documents=documents(spark, sf_dir)).select("doc_id", T.is_section_header(col("t")).alias("is_header"))
+
+
+@query(f"SELECT doc_id, {S("regexp_replace(replace(x, chr(9), ' '), ' +', ' ', 'g')")} AS x FROM dirty", "dirty")
+def util_normalize_ws(spark, sf_dir):
+    return fixture(spark, sf_dir, "dirty").select("doc_id", T.squeeze(col("x")).alias("x"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 100 THEN text ELSE substring(text, 1, 97) || '...' END AS short FROM documents")
+def util_truncate(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.truncate(col("text"), 100).alias("short"))
+
+
+@query(f"SELECT doc_id, {N('text')} AS n_words FROM documents")
+def util_count_words(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.count_words(col("text")).alias("n_words"))
+
+
+BLANKED = "select doc_id, case when doc_id % 7 = 0 then null when doc_id % 7 = 1 then concat(' ', chr(10), chr(9)) else text end as t from {documents}"
+
+
+@query(f"SELECT doc_id, t IS NULL OR NOT regexp_matches(t, '[^{WI}]') AS blank FROM ({BLANKED.replace('{documents}', 'documents')})")
+def util_blank(spark, sf_dir):
+    return spark.sql(BLANKED, documents=documents(spark, sf_dir)).select("doc_id", T.is_blank(col("t")).alias("blank"))
+
+
+PARAS = f"list_filter(list_transform(regexp_split_to_array({S('x')}, '\\n{{2,}}'), lambda p: {S('p')}), lambda p: p <> '')"
+
+
+@query(f"SELECT doc_id, array_to_string({PARAS}, '|') AS paragraphs, CAST(len({PARAS}) AS INTEGER) AS n FROM hyphened", "hyphened")
+def paragraph_split(spark, sf_dir):
+    return fixture(spark, sf_dir, "hyphened").select("doc_id", T.paragraphs(col("x")).alias("p")).select("doc_id", F.array_join("p", "|").alias("paragraphs"), F.size("p").alias("n"))
+
+
+def SENTENCES(t: str) -> str:
+    """RE2 has no lookaround: marks before and after a possible end say whether it is one."""
+    a, b, c = "chr(1)", "chr(2)", "chr(3)"
+    m = f"regexp_replace({t}, '([A-Z][a-z])([.!?])', '\\1' || {b} || '\\2', 'g')"
+    m = f"regexp_replace({m}, '(\\p{{Nd}})([.!?])', '\\1' || {b} || '\\2', 'g')"
+    m = f"regexp_replace({m}, '([{WI}]+)([A-Z0-9])', {c} || '\\1\\2', 'g')"
+    m = f"regexp_replace({m}, '(^|[^' || {b} || '])([.!?][\"'')\\]]?)' || {c}, '\\1\\2' || {a}, 'g')"
+    return f"list_filter(list_transform(string_split({m}, {a}), lambda s: {S(f"replace(replace(s, {b}, ''), {c}, '')")}), lambda s: s <> '')"
+
+
+@query(f"SELECT doc_id, array_to_string({SENTENCES('text')}, '|') AS sentences FROM documents")
+def sentence_split(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.array_join(T.sentences(col("text")), "|").alias("sentences"))
+
+
+# Quality.
+
+CHECKS = rf"""c0 AS (SELECT doc_id, source, {N("text")} AS n, length(text) AS len, length(regexp_replace(text, '[{WI}]', '', 'g')) AS ch, len(regexp_extract_all(text, '[^\p{{L}}\p{{N}}_{WI}]')) AS pu, len(regexp_extract_all(text, '\p{{L}}')) AS le, len(regexp_extract_all(text, '\p{{Lu}}')) AS up, len(regexp_extract_all(text, '[^\x00-\x7F]')) AS na FROM documents),
+c1 AS (SELECT *, ch / greatest(len, 1) AS de, ch / greatest(n, 1) AS av, pu / greatest(len, 1) AS pr, CASE WHEN le = 0 THEN 0.0::DOUBLE ELSE up / le END AS ur, na / greatest(len, 1) AS nr FROM c0),
+c2 AS (SELECT *, (least(1.0::DOUBLE, n / 50) + least(1.0::DOUBLE, de / 0.3::DOUBLE) + CASE WHEN av BETWEEN 2.5 AND 15.0 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END + greatest(0.0::DOUBLE, 1 - pr / 0.2::DOUBLE) + greatest(0.0::DOUBLE, 1 - ur / 0.5::DOUBLE) + greatest(0.0::DOUBLE, 1 - nr / 0.15::DOUBLE)) / 6 AS mean FROM c1),
+c3 AS (SELECT *, CASE WHEN mean >= 0.8 THEN 'high' WHEN mean >= 0.6 THEN 'medium' WHEN mean >= 0.4 THEN 'low' ELSE 'reject' END AS level, array_to_string(list_filter([CASE WHEN n < 50 THEN 'word_count' END, CASE WHEN de < 0.3 THEN 'word_density' END, CASE WHEN NOT av BETWEEN 2.5 AND 15.0 THEN 'avg_word_len' END, CASE WHEN pr > 0.2 THEN 'punct_ratio' END, CASE WHEN ur > 0.5 THEN 'uppercase_ratio' END, CASE WHEN nr > 0.15 THEN 'non_ascii_ratio' END], lambda t: t IS NOT NULL), ',') AS failed FROM c2)"""
+
+
+def scored(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", "source", "text", Q.report(col("text")).alias("r"))
+
+
+@query(f"WITH {CHECKS} SELECT doc_id, n AS word_count, CAST(len AS INTEGER) AS text_length, round(mean, 4) AS overall_score, level AS quality_level FROM c3")
+def quality_score(spark, sf_dir):
+    return scored(spark, sf_dir).select("doc_id", "r.word_count", "r.text_length", "r.overall_score", "r.quality_level")
+
+
+@query(f"WITH {CHECKS} SELECT doc_id, level <> 'reject' AS passed, failed FROM c3")
+def quality_failed_checks(spark, sf_dir):
+    return scored(spark, sf_dir).select("doc_id", "r.passed", F.array_join(F.transform(Q.failed(col("r.checks")), lambda c: c["name"]), ",").alias("failed"))
+
+
+@query(f"WITH {CHECKS} SELECT doc_id FROM c3 WHERE len > 0 AND level NOT IN ('low', 'reject')")
+def quality_gate(spark, sf_dir):
+    return scored(spark, sf_dir).where(Q.gate(col("text"), col("r.quality_level"))).select("doc_id")
+
+
+@query(f"WITH {CHECKS} SELECT source, level AS quality_level, count(*) AS n, round(avg(round(mean, 4)), 6) AS avg_score, sum(n)::BIGINT AS words FROM c3 GROUP BY source, level")
+def quality_report(spark, sf_dir):
+    return scored(spark, sf_dir).groupBy("source", col("r.quality_level").alias("quality_level")).agg(F.count("*").alias("n"), F.round(F.avg("r.overall_score"), 6).alias("avg_score"), F.sum("r.word_count").alias("words"))
+
+
+# Pages.
+
+FED = "select source, doc_id, concat(text, chr(12), '  ', chr(12), substring(text,1,20), chr(12)) as x from {documents}"
+
+
+@query(f"WITH f AS ({FED.replace('{documents}', 'documents')}), p AS (SELECT doc_id, list_filter(string_split(x, chr(12)), lambda p: {S('p')} <> '') AS ps FROM f) SELECT doc_id, CAST(generate_subscripts(ps, 1) AS INTEGER) AS page_number, unnest(ps) AS page FROM p")
+def pages_split(spark, sf_dir):
+    return pages.split_pages(spark.sql(FED, documents=documents(spark, sf_dir)), "doc_id", "x")
+
+
+@query(f"SELECT source, page_number, CAST(length(page) AS INTEGER) AS char_count, {N('page')} AS word_count, {N('page')} = 0 AS is_empty FROM paged", "paged")
+def page_stats(spark, sf_dir):
+    return pages.page_stats(fixture(spark, sf_dir, "paged")).drop("page")
+
+
+SPARSE = "select source, cast(row_number() over (partition by source order by doc_id) as int) as page_number, case when doc_id % 4 < 3 and length(source) > 4 then 'one two' else text end as page from {documents}"
+
+
+@query(f"SELECT source, count(*) AS total_pages, count(*) FILTER ({N('page')} < 5) AS empty_pages, count(*) FILTER ({N('page')} < 5) / count(*) >= 0.7 AS is_scanned FROM ({SPARSE.replace('{documents}', 'documents')}) GROUP BY source")
+def scanned_docs(spark, sf_dir):
+    return pages.scanned(spark.sql(SPARSE, documents=documents(spark, sf_dir)), "source")
+
+
+@query(f"SELECT source, string_agg(page, chr(12) ORDER BY page_number) AS full_text, CAST(sum({N('page')}) AS BIGINT) AS total_words FROM paged GROUP BY source", "paged")
+def pages_full_text(spark, sf_dir):
+    return pages.join_pages(fixture(spark, sf_dir, "paged"), "source")
+
+
+LINES = f"""n AS (SELECT source, count(*) AS np FROM paged GROUP BY source), l0 AS (SELECT source, page_number, unnest(string_split(page, chr(10))) AS raw, generate_subscripts(string_split(page, chr(10)), 1) AS i FROM paged),
+l AS (SELECT *, {S('raw')} AS line FROM l0), e AS (SELECT *, row_number() OVER (PARTITION BY source, page_number ORDER BY i) AS t, row_number() OVER (PARTITION BY source, page_number ORDER BY i DESC) AS b FROM l WHERE line <> ''),
+heads AS (SELECT source, line, count(*) AS n FROM e JOIN n USING (source) WHERE t <= 3 AND length(line) > 2 GROUP BY source, line, np HAVING count(*) >= np * 0.4 AND np >= 3),
+feet AS (SELECT source, line, count(*) AS n FROM e JOIN n USING (source) WHERE b <= 3 AND length(line) > 2 GROUP BY source, line, np HAVING count(*) >= np * 0.4 AND np >= 3),
+gone AS (SELECT source, line FROM heads UNION SELECT source, line FROM feet UNION SELECT source, line FROM l JOIN n USING (source) WHERE np >= 3 AND regexp_matches(line, '{PAGE_NUMBER}')),
+kept AS (SELECT source, page_number, string_agg(raw, chr(10) ORDER BY i) AS page FROM l WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source = l.source AND g.line = l.line) GROUP BY source, page_number),
+clean AS (SELECT n.source, coalesce(string_agg(page, chr(10) || chr(10) ORDER BY page_number) FILTER ({S('page')} <> ''), '') AS filtered_text, np AS pages_processed FROM n LEFT JOIN kept k ON k.source = n.source GROUP BY n.source, np)"""
+
+
+@query(f"WITH {LINES} SELECT * FROM heads", "paged")
+def header_detect(spark, sf_dir):
+    return pages.repeating_lines(fixture(spark, sf_dir, "paged"), "source", "header")
+
+
+@query(f"WITH {LINES} SELECT * FROM feet", "paged")
+def footer_detect(spark, sf_dir):
+    return pages.repeating_lines(fixture(spark, sf_dir, "paged"), "source", "footer")
+
+
+@query(f"WITH {LINES} SELECT * FROM clean", "paged")
+def header_footer_filter(spark, sf_dir):
+    return pages.filter_headers_footers(fixture(spark, sf_dir, "paged"), "source")
+
+
+def cleaned(spark, sf_dir):
+    filtered = pages.filter_headers_footers(fixture(spark, sf_dir, "paged"), "source")
+    return filtered.select("source", T.repair_wraps(T.normalize(col("filtered_text"))).alias("clean_text"))
+
+
+NORMAL = S(f"regexp_replace(regexp_replace(regexp_replace(replace(replace(translate(replace({LIG.format('nfc_normalize(filtered_text)')}, '­', ''), '“”‘’', '\"\"'''''), '–', '-'), '—', '--'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')".replace("{{3,}}", "{3,}"))
+
+
+@query(
+    f"""WITH {LINES}, wn AS (SELECT source, regexp_replace({NORMAL}, '([a-zA-Z])-\\n([a-zA-Z])', '\\1\\2', 'g') AS x FROM clean),
+wl AS (SELECT source, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM wn),
+wm AS (SELECT *, regexp_replace(line, '[{WI}]+$', '') AS own, {S("lead(line) OVER (PARTITION BY source ORDER BY i)")} AS nxt FROM wl)
+SELECT source, string_agg(CASE WHEN own <> '' AND NOT regexp_matches(own, '^[{WI}]*([•‣◦⁃∙]|[-*]|\\p{{Nd}}+[.)]|[a-zA-Z][.)]) ') AND length(own) < 40 AND coalesce(nxt, '') <> '' AND NOT regexp_matches(nxt, '^[•*-]') AND NOT regexp_matches(own, '[.!?:;]$') THEN own || ' ' ELSE own END, chr(10) ORDER BY i) AS clean_text FROM wm GROUP BY source""",
+    "paged",
+)
+def clean_pipeline(spark, sf_dir):
+    return cleaned(spark, sf_dir)
+
+
+# Chunks.
+
+
+def WINDOWS(size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[{WI}]+'), lambda w: w <> '') AS ws FROM documents),
+k AS (SELECT doc_id, ws, unnest(range(0, CASE WHEN len(ws) = 0 THEN 0 WHEN len(ws) <= {size} THEN 1 ELSE CAST(ceil((len(ws) - {size}) / {step}) AS BIGINT) + 1 END)) AS j FROM w),
+ch AS (SELECT doc_id, j, ws[j * {step} + 1 : j * {step} + {size}] AS part FROM k),
+sliding AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS INTEGER) AS chunk_index, array_to_string(part, ' ') AS text, CAST(len(part) AS INTEGER) AS word_count FROM ch WHERE len(part) >= 20)"""
+
+
+@query(f"WITH {WINDOWS(512, 50)} SELECT * FROM sliding")
+def chunk_sliding(spark, sf_dir):
+    return C.chunk(documents(spark, sf_dir).select("doc_id", "text"), chunker="sliding").select("doc_id", "chunk_index", "text", "word_count")
+
+
+@query(f"WITH {WINDOWS(60, 15)} SELECT * FROM sliding")
+def chunk_min_size(spark, sf_dir):
+    return C.chunk(documents(spark, sf_dir).select("doc_id", "text"), chunker="sliding", size=60, overlap=15).select("doc_id", "chunk_index", "text", "word_count")
+
+
+@query(f"WITH {WINDOWS(512, 50)} SELECT doc_id, CAST(count(*) AS INTEGER) AS total_chunks, CAST(sum(word_count) AS INTEGER) AS total_words FROM sliding GROUP BY doc_id")
+def chunk_totals(spark, sf_dir):
+    return C.chunk(documents(spark, sf_dir).select("doc_id", "text"), chunker="sliding").select("doc_id", "total_chunks", "total_words").distinct()
+
+
+def PACK(items: str, size: int, overlap: int) -> str:
+    """Runs [first, last] (from 1) of a list of texts, as a fold over word counts."""
+    start = "struct_pack(w := 0, i := 0, st := 1, words := 0, o := []::INT[][])"
+    elements = f"list_transform({items}, lambda t, i: struct_pack(w := {N('t')}, i := CAST(i AS INTEGER), st := 1, words := 0, o := []::INT[][]))"
+    step = f"CASE WHEN a.words + x.w > {size} AND a.words > 0 THEN struct_pack(w := x.w, i := x.i, st := x.i - {overlap}, words := {'a.w' if overlap else '0'} + x.w, o := list_append(a.o, [a.st, x.i - 1])) ELSE struct_pack(w := x.w, i := x.i, st := a.st, words := a.words + x.w, o := a.o) END"
+    return f"list_reduce(list_prepend({start}, {elements}), lambda a, x: {step})"
+
+
+SENTENCED = f"""s AS (SELECT doc_id, list_filter({SENTENCES('text')}, lambda s: {N('s')} >= 3) AS ss FROM documents), r AS (SELECT doc_id, ss, {PACK('ss', 512, 1)} AS z FROM s WHERE len(ss) > 0),
+g AS (SELECT doc_id, ss, list_append(z.o, [z.st, CAST(len(ss) AS INTEGER)]) AS runs FROM r),
+t AS (SELECT doc_id, generate_subscripts(runs, 1) AS j, array_to_string(ss[unnest(runs)[1] : unnest(runs)[2]], ' ') AS text FROM g),
+o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM t)"""
+
+
+@query(f"WITH {SENTENCED} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS INTEGER) AS chunk_index, text, CAST(at AS INTEGER) AS char_start, CAST(at + length(text) AS INTEGER) AS char_end, {N('text')} AS word_count FROM o WHERE {N('text')} >= 20")
+def chunk_sentence(spark, sf_dir):
+    return C.chunk(documents(spark, sf_dir).select("doc_id", "text"), chunker="sentence").select("doc_id", "chunk_index", "text", "char_start", "char_end", "word_count")
+
+
+MERGED = f"""pp AS (SELECT doc_id, {PARAS} AS ps FROM hyphened), pi AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM pp),
+pg AS (SELECT *, greatest(sum(CASE WHEN {N('p')} >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i), CASE WHEN min(CASE WHEN i = 1 THEN {N('p')} END) OVER (PARTITION BY doc_id) < 20 THEN 0 ELSE 1 END) AS g FROM pi),
+pm AS (SELECT doc_id, g, string_agg(p, chr(10) || chr(10) ORDER BY i) AS p FROM pg GROUP BY doc_id, g), merged AS (SELECT doc_id, list(p ORDER BY g) AS ps FROM pm GROUP BY doc_id)"""
+
+
+@query(f"WITH {MERGED} SELECT doc_id, array_to_string(ps, '|') AS merged, CAST(len(ps) AS INTEGER) AS n FROM merged", "hyphened")
+def merge_short_paragraphs(spark, sf_dir):
+    return fixture(spark, sf_dir, "hyphened").select("doc_id", C.merge_short(T.paragraphs(col("x"))).alias("m")).where(F.size("m") > 0).select("doc_id", F.array_join("m", "|").alias("merged"), F.size("m").alias("n"))
+
+
+@query(f"WITH s AS (SELECT doc_id, {SENTENCES('text')} AS ss FROM documents), r AS (SELECT doc_id, ss, {PACK('ss', 60, 0)} AS z FROM s WHERE len(ss) > 0), g AS (SELECT doc_id, ss, list_append(z.o, [z.st, CAST(len(ss) AS INTEGER)]) AS runs FROM r) SELECT doc_id, array_to_string(list_transform(runs, lambda r: array_to_string(ss[r[1] : r[2]], ' ')), '|') AS parts, CAST(len(runs) AS INTEGER) AS n FROM g")
+def split_large_paragraph(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", C.split_large(col("text"), 60).alias("p")).where(F.size("p") > 0).select("doc_id", F.array_join("p", "|").alias("parts"), F.size("p").alias("n"))
+
+
+@query()
+def chunk_semantic(spark, sf_dir):
+    return C.chunk(fixture(spark, sf_dir, "hyphened"), "x", "semantic").select("doc_id", "chunk_index", "text", "char_start", "char_end", "word_count")
+
+
+@query(f"WITH {SENTENCED}, v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS ci, count(*) OVER (PARTITION BY doc_id) AS tc FROM o WHERE {N('text')} >= 20) SELECT v.doc_id, CAST(ci AS INTEGER) AS chunk_index, CAST(tc AS INTEGER) AS total_chunks, substring(sha256('data/doc_' || v.doc_id || '.pdf::' || ci), 1, 16) AS chunk_id, 'Doc ' || v.doc_id AS document_title, CAST(length(v.text) AS INTEGER) AS char_count, CAST(greatest(1, CAST(trunc(at / length(d.text) * 7) AS INTEGER) + 1) AS INTEGER) AS page_estimate FROM v JOIN documents d ON d.doc_id = v.doc_id")
+def chunk_metadata(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("data/doc_"), col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.length("text").alias("chars"), "text")
+    full = C.with_metadata(C.chunk(docs, chunker="sentence"), "path", col("chars"), F.lit(7), F.lit(0.0), F.lit(""))
+    return full.select("doc_id", "chunk_index", "total_chunks", "chunk_id", "document_title", "char_count", "page_estimate")
+
+
+@query("SELECT doc_id, substring(sha256(source || '::' || doc_id), 1, 16) AS chunk_id FROM documents")
+def chunk_id_sha(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.sha_chunk_id(col("source"), col("doc_id")).alias("chunk_id"))
+
+
+@query("WITH h AS (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || '::' || doc_id)) AS h FROM documents) SELECT doc_id, substring(h,1,8) || '-' || substring(h,9,4) || '-5' || substring(h,14,3) || '-' || substring('89ab', (('0x' || substring(h,17,1))::INT % 4) + 1, 1) || substring(h,18,3) || '-' || substring(h,21,12) AS chunk_id FROM h")
+def chunk_id_uuid5(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.uuid5_chunk_id(col("source"), col("doc_id")).alias("chunk_id"))
+
+
+@query("SELECT page_id, regexp_extract(url, '([a-z]+)/?[0-9]*[^/]*$', 1) IS NOT NULL AS ok, upper(substring(lang, 1, 1)) || substring(lang, 2) || ' Report ' || page_id AS title FROM (SELECT page_id, url, regexp_extract(url, '/([a-z]{2})/', 1) AS lang FROM pages)")
+def doc_title(spark, sf_dir):
+    path = F.concat(F.lit("/data/"), F.regexp_extract("url", "/([a-z]{2})/", 1), F.lit("_report-"), col("page_id").cast("string"), F.lit(".pdf"))
+    return table(spark, sf_dir, "pages").select("page_id", F.lit(True).alias("ok"), T.title(path).alias("title"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 1 ELSE greatest(1, CAST(trunc((doc_id % 500) / n_chars * (doc_id % 9)) AS INTEGER) + 1) END AS page FROM documents")
+def page_estimate(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.page_estimate(col("doc_id") % 500, col("n_chars"), col("doc_id") % 9).alias("page"))
+
+
+# Lines and records.
+
+
+def lines(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    line = F.to_json(F.struct(F.when(col("doc_id") % 17 == 0, "  ").otherwise(F.substring("text", 1, 80)).alias("text"), F.struct(F.concat(F.lit("in/"), col("source"), F.lit(".pdf")).alias("source_path"), col("doc_id").cast("int").alias("chunk_index"), (col("n_chars") / 7).alias("quality_score")).alias("metadata")))
+    return d.select("doc_id", F.when(col("doc_id") % 7 == 0, "NOT_JSON").when(col("doc_id") % 11 == 0, "# comment").when(col("doc_id") % 13 == 0, "").otherwise(line).alias("value"))
+
+
+STATUS = "CASE WHEN doc_id % 7 = 0 THEN 'malformed' WHEN doc_id % 11 = 0 THEN 'comment' WHEN doc_id % 13 = 0 THEN 'blank' ELSE 'ok' END"
+
+
+@query(f"SELECT {STATUS} AS status, count(*) AS n, count(*) FILTER ({STATUS} = 'ok') AS parsed FROM documents GROUP BY 1")
+def jsonl_scan(spark, sf_dir):
+    return files.parse_lines(lines(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"), F.count("raw").alias("parsed"))
+
+
+@query(f"SELECT count(*) AS chunks_read, count(*) FILTER (doc_id % 17 = 0) AS chunks_skipped, count(*) FILTER (doc_id % 17 <> 0) AS chunks_stored FROM documents WHERE {STATUS} = 'ok'")
+def index_stats(spark, sf_dir):
+    return index.stats(files.parse_lines(lines(spark, sf_dir)).where("status = 'ok'").select("raw.text"))
+
+
+@query(f"SELECT doc_id, substring(text, 1, 80) AS text FROM documents WHERE {STATUS} = 'ok' AND doc_id % 17 <> 0")
+def skip_empty_chunks(spark, sf_dir):
+    return files.parse_lines(lines(spark, sf_dir)).where("status = 'ok'").select("doc_id", "raw.text").where(~T.is_blank(col("text")))
+
+
+@query(f"SELECT CASE WHEN doc_id % 17 = 0 THEN '  ' ELSE substring(text, 1, 80) END AS text, source AS document_id, CAST(doc_id AS INTEGER) AS chunk_index, 'in/' || source || '.pdf' AS source_file, -1 AS page_number, '' AS section, 0 AS char_start, 0 AS char_end, 0 AS word_count, n_chars / 7 AS quality_score, '' AS chunker_name, '' AS document_title, -1 AS total_chunks, '' AS quality_level FROM documents WHERE {STATUS} = 'ok'")
+def chunk_record(spark, sf_dir):
+    return files.records(files.parse_lines(lines(spark, sf_dir)).where("status = 'ok'").select("raw.text", "raw.metadata")).drop("chunk_id")
+
+
+@query("SELECT chunk_id, document_id || '|' || chunk_index || '|' || page_number || '|' || section || '|' || chunker_name || '|' || (vec_id % 4) AS flat, 12 AS n FROM idx", "idx")
+def metadata_flatten(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "idx").withColumns({"char_start": F.lit(0), "char_end": F.lit(0), "word_count": F.lit(0), "m": F.lit(None)})
+    flat = rows.withColumn("m", files.flat_metadata({"total_chunks": col("vec_id") % 4, "document_title": F.lit("t")}))
+    return flat.select("chunk_id", F.concat_ws("|", *[col("m")[k] for k in ("document_id", "chunk_index", "page_number", "section", "chunker_name", "total_chunks")]).alias("flat"), F.size("m").alias("n"))
+
+
+@query(f"WITH {WINDOWS(512, 50)} SELECT doc_id, chunk_index, text, word_count FROM sliding")
+def chunk_jsonl(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.length("text").alias("chars"), "text")
+    full = C.with_metadata(C.chunk(docs, chunker="sliding"), "path", col("chars"), F.lit(0), F.lit(0.0), F.lit(""))
+    back = files.parse_lines(full.select("doc_id", C.to_json_line().alias("value")))
+    return back.select("doc_id", "raw.metadata.chunk_index", "raw.text", "raw.metadata.word_count")
+
+
+# The index.
+
+
+@query("SELECT chunk_id, document_id, CASE WHEN vec_id >= 200 THEN 'new' ELSE 'old' END AS version FROM idx", "idx")
+def index_upsert(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "idx").select("vec_id", "chunk_id", "document_id")
+    base = rows.where("vec_id < 300").select("chunk_id", "document_id", F.lit("old").alias("version"), F.lit(0).alias("seq"))
+    new = rows.where("vec_id >= 200").select("chunk_id", "document_id", F.explode(F.array(F.struct(F.lit("stale").alias("version"), F.lit(1).alias("seq")), F.struct(F.lit("new").alias("version"), F.lit(2).alias("seq")))).alias("s")).select("chunk_id", "document_id", "s.*")
+    return index.upsert(base, new, order="seq").drop("seq")
+
+
+@query("SELECT chunk_id, document_id FROM idx WHERE document_id <> 'doc_3'", "idx")
+def index_delete(spark, sf_dir):
+    return index.delete_document(fixture(spark, sf_dir, "idx"), "doc_3").select("chunk_id", "document_id")
+
+
+@query("SELECT chunk_id, text, 1.0::DOUBLE AS score FROM idx WHERE chunk_id IN ('c000003', 'c000017', 'c000256')", "idx")
+def index_get_by_ids(spark, sf_dir):
+    return index.get_by_ids(fixture(spark, sf_dir, "idx"), ["c000017", "c000003", "c000256", "missing"]).select("chunk_id", "text", "score")
+
+
+@query("SELECT document_id, count(*) AS chunks, round(avg(quality_score), 9) AS avg_quality FROM idx GROUP BY document_id", "idx")
+def collection_stats(spark, sf_dir):
+    return fixture(spark, sf_dir, "idx").groupBy("document_id").agg(F.count("*").alias("chunks"), F.round(F.avg("quality_score"), 9).alias("avg_quality"))
+
+
+@query("SELECT item_id, 64 AS dimensions, true AS unit FROM benchmark")
+def zip_embeddings(spark, sf_dir):
+    e = embed(table(spark, sf_dir, "benchmark").select("item_id", "text"), HashProvider(64))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return e.select("item_id", F.size("embedding").alias("dimensions"), (F.abs(norm - 1) < 1e-5).alias("unit"))
+
+
+@query("SELECT role, CAST(sum(CASE WHEN turn % 5 <> 0 THEN length(text) END) AS BIGINT) AS total_tokens FROM conversations GROUP BY role")
+def token_totals(spark, sf_dir):
+    tokens = F.when(col("turn") % 5 == 0, -1).otherwise(F.length("text"))
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.sum(F.when(tokens >= 0, tokens)).alias("total_tokens"))
+
+
+# Search. The query vector is that of vec_id 0.
+
+SCORES = "q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), sc AS (SELECT idx.*, greatest(0, list_cosine_similarity(embedding::DOUBLE[], v)) AS s FROM idx, q)"
+RESULT = "chunk_id, document_id, round(s, 6) AS score"
+
+
+def vector(spark, sf_dir) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+def best(k: int, where: str = "true") -> str:
+    return f"WITH {SCORES} SELECT {RESULT} FROM sc WHERE {where} ORDER BY s DESC, chunk_id LIMIT {k}"
+
+
+def searched(name: str, sql_where: str, where: dict | search.RetrievalFilter | None, k: int = 20, threshold: float = 0.0) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        clause = where.where() if isinstance(where, search.RetrievalFilter) else where
+        return search.top_k(fixture(spark, sf_dir, "idx"), vector(spark, sf_dir), k, threshold, clause).select("chunk_id", "document_id", "score")
+
+    run.__name__ = name
+    query(best(k, sql_where), "idx")(run)
+
+
+_F = search.RetrievalFilter
+searched("vector_topk", "true", None, 5)
+searched("vector_topk_filtered", "page_number BETWEEN 2 AND 15 AND quality_score >= 0.3", _F(min_page=2, max_page=15, min_quality=0.3), 5)
+searched("search_threshold", "s >= 0.2", None, 50, 0.2)
+searched("filter_document", "document_id = 'doc_3'", _F(document_id="doc_3"))
+searched("filter_document_in", "document_id IN ('doc_1', 'doc_7')", _F(document_ids=("doc_1", "doc_7")))
+searched("filter_source_file", "source_file = 'data/doc_4.pdf'", _F(source_file="data/doc_4.pdf"))
+searched("filter_section", "section = 'Section 2'", _F(section="Section 2"))
+searched("filter_chunker", "chunker_name = 'SentenceSplitter'", _F(chunker_name="SentenceSplitter"))
+searched("filter_page", "page_number = 7", _F(page_number=7, min_page=10))
+searched("filter_page_range", "page_number BETWEEN 3 AND 5", _F(min_page=3, max_page=5))
+searched("filter_min_quality", "quality_score >= 0.9", _F(min_quality=0.9))
+searched("filter_compound", "document_id IN ('doc_1', 'doc_2', 'doc_5') AND chunker_name = 'SemanticChunker' AND page_number >= 4 AND quality_score >= 0.25", _F(chunker_name="SemanticChunker", document_ids=("doc_1", "doc_2", "doc_5"), min_page=4, min_quality=0.25))
+searched("where_dsl_or", "section = 'Section 0' OR page_number > 18", {"$or": [{"section": {"$eq": "Section 0"}}, {"page_number": {"$gt": 18}}]})
+searched("where_dsl_ne", "document_id <> 'doc_0' AND quality_score < 0.5", {"$and": [{"document_id": {"$ne": "doc_0"}}, {"quality_score": {"$lt": 0.5}}]})
+
+
+@query(f"WITH {SCORES} SELECT chunk_id, round(s, 6) AS score FROM sc", "idx")
+def cosine_score(spark, sf_dir):
+    similarity = search.cosine(col("embedding"), vector(spark, sf_dir))
+    return fixture(spark, sf_dir, "idx").select("chunk_id", F.round(F.greatest(F.lit(0.0), similarity), 6).alias("score"))
+
+
+@query(f"WITH {SCORES}, k AS (SELECT {RESULT} FROM sc ORDER BY s DESC, chunk_id LIMIT 60) SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_id) <= 2", "idx")
+def per_doc_cap(spark, sf_dir):
+    return search.cap_per_document(search.top_k(fixture(spark, sf_dir, "idx"), vector(spark, sf_dir), 60), 2).select("chunk_id", "document_id", "score")
+
+
+@query(f"WITH {SCORES}, k AS (SELECT {RESULT} FROM sc ORDER BY s DESC, chunk_id LIMIT 30), r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS INTEGER) AS original_rank FROM k) SELECT chunk_id, score, score AS rerank_score, 'noop' AS rerank_model, original_rank, original_rank AS rerank_rank FROM r WHERE original_rank < 10", "idx")
+def rerank_noop(spark, sf_dir):
+    return search.rerank(search.top_k(fixture(spark, sf_dir, "idx"), vector(spark, sf_dir), 30), k=10).select("chunk_id", "score", "rerank_score", "rerank_model", "original_rank", "rerank_rank")
+
+
+@query(
+    f"""WITH {SCORES}, k AS (SELECT *, round(s, 6) AS score FROM sc WHERE quality_score >= 0.1 AND s >= 0.05 ORDER BY s DESC, chunk_id LIMIT 30), c AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_id) <= 2),
+l AS (SELECT * FROM c ORDER BY score DESC, chunk_id LIMIT 10) SELECT chunk_id, text, score, score AS similarity_score, document_id, source_file, chunk_index, page_number, section, 0 AS char_start, 0 AS char_end, 0 AS word_count, quality_score, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS INTEGER) AS rerank_rank FROM l""",
+    "idx",
+)
+def retrieve_full(spark, sf_dir):
+    return search.search(fixture(spark, sf_dir, "idx"), vector(spark, sf_dir), 10, 0.05, _F(min_quality=0.1), per_document=2, query="anything")
+
+
+@query(f"WITH {SCORES} SELECT chunk_id, document_id, page_number, round(s, 6) AS score FROM sc WHERE page_number >= 10 AND section = 'Section 1' ORDER BY s DESC, chunk_id LIMIT 15", "idx")
+def retrieve_raw_where(spark, sf_dir):
+    where = {"$and": [{"page_number": {"$gte": 10}}, {"section": {"$in": ["Section 1"]}}]}
+    return search.search(fixture(spark, sf_dir, "idx"), vector(spark, sf_dir), 15, 0.0, where).select("chunk_id", "document_id", "page_number", "score")
+
+
+# Costs.
+
+_VALUES = ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, (a, b) in costs.PRICES.items())
+PRICED = f"p(model, input_price, output_price) AS (VALUES {_VALUES}), j AS (SELECT m.*, coalesce(a.input_price, b.input_price, 30.0::DOUBLE) AS ip, coalesce(a.output_price, b.output_price, 60.0::DOUBLE) AS op FROM models m LEFT JOIN p a ON a.model = m.model LEFT JOIN p b ON b.model = split_part(m.model, '-', 1) || '-' || split_part(m.model, '-', 2))"
+
+
+@query(f"SELECT * FROM (VALUES {_VALUES}) p(model, input_price, output_price)")
+def pricing_table(spark, sf_dir):
+    return costs.price_table(spark)
+
+
+@query(f"WITH {PRICED} SELECT conv_id, turn, model, ip AS input_price, op AS output_price FROM j", "models")
+def model_pricing(spark, sf_dir):
+    return costs.with_prices(fixture(spark, sf_dir, "models"), costs.price_table(spark)).select("conv_id", "turn", "model", "input_price", "output_price")
+
+
+@query(f"WITH {PRICED} SELECT conv_id, turn, model, input_tokens + output_tokens AS total_tokens, round(input_tokens / 1e6 * ip, 6) AS input_cost, round(output_tokens / 1e6 * op, 6) AS output_cost, round(input_tokens / 1e6 * ip + output_tokens / 1e6 * op, 6) AS total_cost FROM j", "models")
+def token_cost(spark, sf_dir):
+    return costs.costs(fixture(spark, sf_dir, "models"), costs.price_table(spark)).select("conv_id", "turn", "model", "total_tokens", "input_cost", "output_cost", "total_cost")
+
+
+@query(f"WITH {PRICED}, c AS (SELECT conv_id, turn, model, input_tokens, output_tokens, round(input_tokens / 1e6 * ip, 6) AS ic, round(output_tokens / 1e6 * op, 6) AS oc, round(input_tokens / 1e6 * ip + output_tokens / 1e6 * op, 6) AS tc FROM j) SELECT conv_id, turn, printf('Model: %s' || chr(10) || 'Tokens: %d input + %d output = %d total' || chr(10) || 'Cost: $%.6f input + $%.6f output = $%.6f total', model, input_tokens, output_tokens, input_tokens + output_tokens, ic, oc, tc) AS summary FROM c", "models")
+def cost_summary(spark, sf_dir):
+    return costs.costs(fixture(spark, sf_dir, "models"), costs.price_table(spark)).select("conv_id", "turn", costs.summary().alias("summary"))
