@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import htmltext, langid, media, mixing, neardup, oracles, packing, passages, tokencount, vafile
+from quillmill.llm import htmltext, langid, lm, media, mixing, neardup, oracles, packing, passages, tokencount, vafile
 from quillmill.runtime import table
 
 
@@ -50,6 +50,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.train(docs))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
+    "op8_lm_score": op8_lm_score,
     "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
 }
