@@ -23,6 +23,11 @@ PAGE_NUMBER = rf"^(?:\p{{Nd}}+|[Pp]age{W}+\p{{Nd}}+|-{W}*\p{{Nd}}+{W}*-|\p{{Nd}}
 SECTION = rf"^(?:#{{1,6}}{W}+[^\n]|[A-Z][A-Z{INNER}]{{4,}}(?=\n|\z)|\p{{Nd}}+\.\p{{Nd}}*{W}+[A-Z]|(?i:Chapter|Section|Part){W}+\p{{Nd}})"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for each row however often body names it, inside lambda functions as well."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{W}+|{W}+\z", "")
 
@@ -131,13 +136,13 @@ def count_hyphens(c: Column) -> Column:
 
 def mark_soft_wraps(c: Column, shorter_than: int = 40, preserve_bullets: bool = True) -> Column:
     """Lines without trailing white space; one that wraps softly gets one space. Lines stay separate."""
-    lines = F.split(c, "\n")
-    return F.array_join(F.transform(lines, lambda line, i: _wrapped(lines, line, i, shorter_than, preserve_bullets)["text"]), "\n")
+    wrapped = lambda lines: F.transform(lines, lambda line, i: _wrapped(lines, line, i, shorter_than, preserve_bullets)["text"])
+    return F.array_join(let(F.split(c, "\n"), wrapped), "\n")
 
 
 def count_soft_wraps(c: Column, shorter_than: int = 40, preserve_bullets: bool = True) -> Column:
-    lines = F.split(c, "\n")
-    return F.size(F.filter(F.transform(lines, lambda line, i: _wrapped(lines, line, i, shorter_than, preserve_bullets)["soft"]), lambda s: s))
+    soft = lambda lines: F.transform(lines, lambda line, i: _wrapped(lines, line, i, shorter_than, preserve_bullets)["soft"])
+    return F.size(F.filter(let(F.split(c, "\n"), soft), lambda s: s))
 
 
 def _wrapped(lines: Column, line: Column, i: Column, shorter_than: int, preserve_bullets: bool) -> Column:

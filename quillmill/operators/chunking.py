@@ -21,13 +21,20 @@ def _numbered(chunks: Column, least: int) -> Column:
 
 
 def _chunk(text: Column, start: Column) -> Column:
+    return T.let(text, lambda text: _chunk_of(text, start))
+
+
+def _chunk_of(text: Column, start: Column) -> Column:
     return F.struct(T.strip(text).alias("text"), start.cast("int").alias("char_start"), (start + F.length(text)).cast("int").alias("char_end"), T.count_words(text).alias("word_count"))
 
 
 def sliding(text: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
     """Windows of ``size`` words, each beginning size - overlap words after the one before."""
     step = max(1, size - overlap)
-    own = T.words(text)
+    return T.let(T.words(text), lambda own: _numbered(_windows(text, own, size, step), least))
+
+
+def _windows(text: Column, own: Column, size: int, step: int) -> Column:
     n = F.size(own)
     last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int")
     starts = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
@@ -43,8 +50,7 @@ def sliding(text: Column, size: int = SIZE, overlap: int = OVERLAP, least: int =
         cursor = F.when(moved > 0, moved - 1 + F.length(w["moved"])).otherwise(acc["cursor"])
         return F.struct(cursor.cast("int").alias("cursor"), F.array_append(acc["out"], _chunk(w["text"], start)).alias("out"))
 
-    placed = F.aggregate(windows, F.struct(F.lit(0).alias("cursor"), F.array().cast(kind).alias("out")), place, lambda acc: acc["out"])
-    return _numbered(placed, least)
+    return F.aggregate(windows, F.struct(F.lit(0).alias("cursor"), F.array().cast(kind).alias("out")), place, lambda acc: acc["out"])
 
 
 def pack_runs(counts: Column, size: int, overlap: int) -> Column:
@@ -73,14 +79,18 @@ def _texts(items: Column, runs: Column, sep: str) -> Column:
 
 def _placed(texts: Column, base: Column) -> Column:
     """Chunks whose offsets add up the lengths of the texts before them, with one character between two."""
-    return F.transform(texts, lambda t, g: _chunk(t, base + F.aggregate(F.slice(texts, F.lit(1), g), F.lit(0), lambda a, x: a + F.length(x) + 1)))
+    before = lambda texts, g: F.aggregate(F.slice(texts, F.lit(1), g), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    return T.let(texts, lambda texts: F.transform(texts, lambda t, g: _chunk(t, base + before(texts, g))))
 
 
 def by_sentence(text: Column, size: int = SIZE, overlap: int = 1, least_sentence: int = 3, least: int = LEAST) -> Column:
     """Sentences packed greedily; a chunk begins with the last sentence of the one before."""
-    own = F.filter(T.sentences(text), lambda s: T.count_words(s) >= least_sentence)
-    runs = pack_runs(F.transform(own, T.count_words), size, overlap)
-    return _numbered(_placed(_texts(own, runs, " "), F.lit(0)), least)
+    kept = F.filter(T.sentences(text), lambda s: T.count_words(s) >= least_sentence)
+    return _numbered(_placed(T.let(kept, lambda own: _packed(own, size, overlap)), F.lit(0)), least)
+
+
+def _packed(sentences: Column, size: int, overlap: int) -> Column:
+    return _texts(sentences, pack_runs(F.transform(sentences, T.count_words), size, overlap), " ")
 
 
 def merge_short(paragraphs: Column, shorter_than: int = 20) -> Column:
@@ -95,8 +105,7 @@ def merge_short(paragraphs: Column, shorter_than: int = 20) -> Column:
 
 def split_large(paragraph: Column, size: int = SIZE) -> Column:
     """A long paragraph's sentences packed without overlap; an array of texts."""
-    own = T.sentences(paragraph)
-    return _texts(own, pack_runs(F.transform(own, T.count_words), size, 0), " ")
+    return T.let(T.sentences(paragraph), lambda own: _packed(own, size, 0))
 
 
 def paragraph_runs(paragraphs: Column, size: int, most: int, detect_headers: bool = True) -> Column:
@@ -121,12 +130,14 @@ def paragraph_runs(paragraphs: Column, size: int, most: int, detect_headers: boo
 def semantic(text: Column, size: int = SIZE, most: int = MOST, least: int = LEAST, merge: int | None = 20, detect_headers: bool = True) -> Column:
     """Paragraphs packed greedily, short ones merged first, very long ones cut by sentences; headers begin a chunk."""
     own = T.paragraphs(text)
-    own = own if merge is None else merge_short(own, merge)
+    return T.let(own if merge is None else merge_short(own, merge), lambda own: _numbered(_grouped(own, size, most, detect_headers), least))
+
+
+def _grouped(own: Column, size: int, most: int, detect_headers: bool) -> Column:
     runs = paragraph_runs(own, size, most, detect_headers)
     base = lambda r: F.aggregate(F.slice(own, F.lit(1), r["first"]), F.lit(0), lambda a, x: a + F.length(x) + 1)
     whole = lambda r: F.array_join(F.slice(own, r["first"] + 1, r["last"] - r["first"] + 1), "\n\n")
-    chunks = F.flatten(F.transform(runs, lambda r: F.when(r["large"], _placed(split_large(F.get(own, r["first"]), size), base(r))).otherwise(F.array(_chunk(whole(r), base(r))))))
-    return _numbered(chunks, least)
+    return F.flatten(F.transform(runs, lambda r: F.when(r["large"], _placed(split_large(F.get(own, r["first"]), size), base(r))).otherwise(F.array(_chunk(whole(r), base(r))))))
 
 
 CHUNKERS = {"sliding": sliding, "sentence": by_sentence, "semantic": semantic}

@@ -248,7 +248,8 @@ def header_footer_filter(spark, sf_dir):
 
 def cleaned(spark, sf_dir):
     filtered = pages.filter_headers_footers(fixture(spark, sf_dir, "paged"), "source")
-    return filtered.select("source", T.repair_wraps(T.normalize(col("filtered_text"))).alias("clean_text"))
+    normal = filtered.select("source", T.normalize(col("filtered_text")).alias("x"))  # lambda functions take no Python UDF
+    return normal.select("source", T.repair_wraps(col("x")).alias("clean_text"))
 
 
 NORMAL = S(f"regexp_replace(regexp_replace(regexp_replace(replace(replace(translate(replace({LIG.format('nfc_normalize(filtered_text)')}, '­', ''), '“”‘’', '\"\"'''''), '–', '-'), '—', '--'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')".replace("{{3,}}", "{3,}"))
@@ -302,10 +303,10 @@ def PACK(items: str, size: int, overlap: int) -> str:
 SENTENCED = f"""s AS (SELECT doc_id, list_filter({SENTENCES('text')}, lambda s: {N('s')} >= 3) AS ss FROM documents), r AS (SELECT doc_id, ss, {PACK('ss', 512, 1)} AS z FROM s WHERE len(ss) > 0),
 g AS (SELECT doc_id, ss, list_append(z.o, [z.st, CAST(len(ss) AS INTEGER)]) AS runs FROM r),
 t AS (SELECT doc_id, generate_subscripts(runs, 1) AS j, array_to_string(ss[unnest(runs)[1] : unnest(runs)[2]], ' ') AS text FROM g),
-o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM t)"""
+o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM t)"""
 
 
-@query(f"WITH {SENTENCED} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS INTEGER) AS chunk_index, text, CAST(at AS INTEGER) AS char_start, CAST(at + length(text) AS INTEGER) AS char_end, {N('text')} AS word_count FROM o WHERE {N('text')} >= 20")
+@query(f"WITH {SENTENCED} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS INTEGER) AS chunk_index, text, CAST(begins AS INTEGER) AS char_start, CAST(begins + length(text) AS INTEGER) AS char_end, {N('text')} AS word_count FROM o WHERE {N('text')} >= 20")
 def chunk_sentence(spark, sf_dir):
     return C.chunk(documents(spark, sf_dir).select("doc_id", "text"), chunker="sentence").select("doc_id", "chunk_index", "text", "char_start", "char_end", "word_count")
 
@@ -330,7 +331,7 @@ def chunk_semantic(spark, sf_dir):
     return C.chunk(fixture(spark, sf_dir, "hyphened"), "x", "semantic").select("doc_id", "chunk_index", "text", "char_start", "char_end", "word_count")
 
 
-@query(f"WITH {SENTENCED}, v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS ci, count(*) OVER (PARTITION BY doc_id) AS tc FROM o WHERE {N('text')} >= 20) SELECT v.doc_id, CAST(ci AS INTEGER) AS chunk_index, CAST(tc AS INTEGER) AS total_chunks, substring(sha256('data/doc_' || v.doc_id || '.pdf::' || ci), 1, 16) AS chunk_id, 'Doc ' || v.doc_id AS document_title, CAST(length(v.text) AS INTEGER) AS char_count, CAST(greatest(1, CAST(trunc(at / length(d.text) * 7) AS INTEGER) + 1) AS INTEGER) AS page_estimate FROM v JOIN documents d ON d.doc_id = v.doc_id")
+@query(f"WITH {SENTENCED}, v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS ci, count(*) OVER (PARTITION BY doc_id) AS tc FROM o WHERE {N('text')} >= 20) SELECT v.doc_id, CAST(ci AS INTEGER) AS chunk_index, CAST(tc AS INTEGER) AS total_chunks, substring(sha256('data/doc_' || v.doc_id || '.pdf::' || ci), 1, 16) AS chunk_id, 'Doc ' || v.doc_id AS document_title, CAST(length(v.text) AS INTEGER) AS char_count, CAST(greatest(1, CAST(trunc(begins / length(d.text) * 7) AS INTEGER) + 1) AS INTEGER) AS page_estimate FROM v JOIN documents d ON d.doc_id = v.doc_id")
 def chunk_metadata(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("data/doc_"), col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.length("text").alias("chars"), "text")
     full = C.with_metadata(C.chunk(docs, chunker="sentence"), "path", col("chars"), F.lit(7), F.lit(0.0), F.lit(""))
