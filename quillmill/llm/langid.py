@@ -2,13 +2,14 @@
 
 For each language a raw-content dictionary is made of a bounded sample of labelled texts. Of every text the letters of all
 its words, in lower case, are compressed with each dictionary in blocks of BLOCK bytes, so that a text's own repetitions
-don't hide the language; the language whose dictionary leaves the fewest bytes is its prediction. The score compares the two best sizes:
-it is the share that the best language would get if each byte saved per hundred bytes of text (at most EVIDENCE of them)
-doubled the odds. Texts whose margin is below ``least_margin`` bytes are rejected; op7 keeps the prediction of these too.
+don't hide the language; the language whose dictionary leaves the fewest bytes is its prediction. LEVEL is one at which the
+coder finds the matches of a whole dictionary, whatever its size. The score compares the sizes: it is the share that the best
+language would get if each byte saved per hundred bytes of text (at most EVIDENCE of them) doubled the odds. Texts whose margin is below ``least_margin`` bytes are rejected; op7 keeps the prediction of these too.
 
 The sample: of each language the PER_LANGUAGE texts with the smallest hash of their id, SAMPLE_CHARS characters of each at
 most, DICTIONARY_BYTES in all. Only this sample is bounded; predictions read whole texts. A text that is null or has no
-letter is ``und`` with score 0, as is every text where nothing was learned. Ties go to the alphabetically first language.
+letter is ``und`` with score 0, as is every text where nothing was learned. Ties go to the language with the most labelled rows, then
+to the alphabetically first.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 
 from quillmill.runtime import prepare
 
-PER_LANGUAGE, SAMPLE_CHARS, DICTIONARY_BYTES, EVIDENCE, LEVEL, BLOCK = 200, 1000, 200_000, 400, 3, 256
+PER_LANGUAGE, SAMPLE_CHARS, DICTIONARY_BYTES, EVIDENCE, LEVEL, BLOCK = 200, 1000, 100_000, 400, 12, 1024
 UNKNOWN = "und"
 
 
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", where: Column | None = None) -> dict[str, bytes]:
-    """Dictionary content by language, from rows with a label and a text (and ``where``, if given).
+    """Dictionary content by language, most frequent first, from rows with a label and a text (and ``where``, if given).
 
     Choosing the rows reads only keys and labels, and each partition passes on PER_LANGUAGE rows a language at most.
     """
@@ -43,7 +44,8 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     out: dict[str, bytes] = {}
     for row in sorted(chosen, key=lambda r: (r["lang"], r["key"], r["text"])):
         out[row["lang"]] = out.get(row["lang"], b"") + letters(row["text"]) + b" "
-    return {k: v[-DICTIONARY_BYTES:] for k, v in sorted(out.items())}
+    count = dict(rows.groupBy(lang).count().collect())
+    return {k: out[k][-DICTIONARY_BYTES:] for k in sorted(out, key=lambda k: (-count[k], k))}
 
 
 @cache
@@ -62,7 +64,7 @@ class Classifier:
     def __init__(self, content: dict[str, bytes]):
         import zstandard
 
-        self.langs = sorted(content)
+        self.langs = list(content)
         self.coders = []
         for lang in self.langs:
             dictionary = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
