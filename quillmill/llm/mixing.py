@@ -52,7 +52,8 @@ def domain_of_labels(labels: DataFrame) -> DataFrame:
 def learn(df: DataFrame, labelled: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[float]]:
     """(bucket, w: log-likelihood of each domain) and the log priors; domains without examples get a small prior."""
     chosen = labelled.where(F.col("domain").isin(domains)).withColumn("_rn", F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_rn") <= PER_DOMAIN).select(F.col("doc_id").alias("_id"), "domain")
-    rows = materialize(df.join(F.broadcast(chosen), df[key] == F.col("_id")).select("domain", F.col(text).alias("text")))
+    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    rows = materialize(texts.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("domain", "text"))
     priors = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     seen = [priors.get(d, 0) + 1 for d in domains]
     counts = materialize(rows.select("domain", F.explode(words("text")).alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]))
