@@ -52,19 +52,16 @@ def is_blank(c: Column) -> Column:
 # Normalization: one function a step, in the order in which normalize() applies them.
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
-
-
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def unicode_form(c: Column, form: str = "NFC") -> Column:
+    """NFC, NFD, NFKC or NFKD. The only step that Spark has no function for: an Arrow UDF that lets ASCII texts pass."""
+    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError(f"unknown form {form!r}")
 
+    @F.pandas_udf(StringType())
+    def normalized(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
 
-def unicode_form(c: Column, form: str = "NFC") -> Column:
-    """The only step that Spark has no function for: an Arrow UDF that lets ASCII texts pass."""
-    return {"NFC": _nfc, "NFKC": _nfkc}[form](c)
+    return normalized(c)
 
 
 def ligatures(c: Column) -> Column:

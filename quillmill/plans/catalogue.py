@@ -491,6 +491,17 @@ def cosine_score(spark, sf_dir):
     return fixture(spark, sf_dir, "idx").select("chunk_id", F.round(F.greatest(F.lit(0.0), similarity), 6).alias("score"))
 
 
+@query(
+    """WITH v AS (SELECT vec_id, chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM idx),
+p AS (SELECT q.vec_id AS query_id, v.chunk_id, greatest(0.0, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)))) AS s FROM v q JOIN v ON q.vec_id < 3)
+SELECT query_id, chunk_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 5""",
+    "idx",
+)
+def vector_topk_batch(spark, sf_dir):
+    asked = [(r["vec_id"], r["embedding"]) for r in table(spark, sf_dir, "embeddings").where("vec_id < 3").select("vec_id", "embedding").collect()]
+    return search.top_k_batch(fixture(spark, sf_dir, "idx"), asked)
+
+
 @query(f"WITH {SCORES}, k AS (SELECT {RESULT} FROM sc ORDER BY s DESC, chunk_id LIMIT 60) SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_id) <= 2", "idx")
 def per_doc_cap(spark, sf_dir):
     return search.cap_per_document(search.top_k(fixture(spark, sf_dir, "idx"), vector(spark, sf_dir), 60), 2).select("chunk_id", "document_id", "score")

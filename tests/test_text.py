@@ -42,6 +42,12 @@ def test_like_python(spark, texts):
         assert row == (normal(text), text.strip(), len(text.split()), not text.strip(), text.split(), cut(10), cut(2))
 
 
+def test_unicode_forms(spark):
+    texts = ["ascii", "é e\u0301", "ﬁ Å", None]
+    for form in ("NFC", "NFD", "NFKC", "NFKD"):
+        assert column(spark, texts, T.unicode_form(F.col("t"), form)) == [(None if t is None else unicodedata.normalize(form, t),) for t in texts]
+
+
 def test_fixed_expectations(spark):
     c = F.col("t")
     assert column(spark, ["  hello   world  "], T.normalize(c), T.normalize_changes(c))[0] == ("hello world", ["whitespace"])
