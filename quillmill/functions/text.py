@@ -103,13 +103,17 @@ def normalize(c: Column, skip: tuple[str, ...] = ()) -> Column:
 
 def normalize_changes(c: Column, skip: tuple[str, ...] = ()) -> Column:
     """Array of the steps that change the text, in order."""
-    changed = []
-    for name, step in STEPS.items():
-        if name not in skip:
-            after = step(c)
-            changed.append(F.when(after != c, F.lit(name)))
-            c = after
-    return F.array_compact(F.array(*changed))
+
+    def changed(before: Column, names: list[str]) -> Column:
+        if not names:
+            return F.array().cast("array<string>")
+        own = STEPS[names[0]](before)
+        rest = lambda after: changed(after, names[1:])
+        if names[0] == "unicode_NFC":  # lambda functions take no Python UDF, which Spark evaluates once of its own accord
+            return F.concat(F.array(F.when(own != before, F.lit(names[0]))), let(own, rest))
+        return let(own, lambda after: F.concat(F.array(F.when(after != before, F.lit(names[0]))), rest(after)))
+
+    return F.array_compact(changed(c, [n for n in STEPS if n not in skip]))
 
 
 def reduction_percent(before: Column, after: Column) -> Column:
