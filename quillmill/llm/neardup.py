@@ -6,9 +6,11 @@ two sketches has at most two bits set for each sample on which the classes diffe
 number of equal samples, and a candidate whose count would need fewer equal samples than links at the threshold ever have
 (DEVIATIONS below the mean) is dropped; all others are confirmed on the full sets.
 
-In a band each class is first held against the smallest of its bucket. Only classes that are still in different components
-after that are held against each other, so that a large group of copies costs as many comparisons as it has members. These
-comparisons take place in tiles of TILE x TILE members at most, on the sketches alone, and only pairs that pass become rows.
+In a band each class is first held against the smallest of its bucket. Classes that are then outside of their bucket's largest
+component are held against all members of other components, and the PARTNERS nearest in each tile are confirmed, which joins
+most of a large group. Those that are outside still meet a component only once, whatever the number of bands: in tiles of
+about TILE x TILE classes with their full sets, where sketches decide which are compared and only links become rows. So no link
+is lost, the members of a component are never held against each other, and rows grow with the members of a group.
 
 With 50 bands of 6 samples a link at 0.8 is missed with probability 3e-7, and a pair at 0.1 meets with 5e-5.
 """
@@ -24,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.components import components
+from quillmill.llm.components import components, joined
 from quillmill.llm.shingles import mix, shingle_sets
 from quillmill.runtime import materialize, prepare, release
 
-BANDS, ROWS, SKETCH_BITS, DEVIATIONS, TILE = 50, 6, 2048, 6, 512
+BANDS, ROWS, SKETCH_BITS, DEVIATIONS, TILE, PARTNERS = 50, 6, 2048, 5, 512, 2
 #: Keys of texts that are read again for the full sets are broadcast up to this many, else joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 _SAMPLES, _STRIDE, _TEXTS = BANDS * ROWS, 4096, 4_000_000
@@ -126,60 +128,145 @@ def _by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return near.where(_differing("sketch_a", "sketch_b") <= sketch_limit(percent / 100)).select("a", "b", "n_a", "n_b")
 
 
-def _across(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of different components in a bucket that can be links by size and sketch.
+def _nearest(own: np.ndarray, other: np.ndarray, bits: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the first ``most`` of their own, by bits."""
+    order = np.lexsort((other, bits, own))
+    starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order)))
+    keep = np.zeros(len(own), bool)
+    keep[order[place < most]] = True
+    return keep
 
-    apart: band, members (of the bucket), doc_id, component, n_shingles, sketch. A bucket's members are dealt into blocks, and
-    each two blocks meet in a tile of their own.
+
+def _outside(shared: DataFrame, reached: DataFrame) -> DataFrame:
+    """(band, doc_id, component, main, members, others) of the members of buckets in several components, but their first.
+
+    main is the bucket's largest component, others the number of members that aren't in it.
     """
+    component = reached.select(F.col("id").alias("doc_id"), "component")
+    label = materialize(shared.where("n > 2 and doc_id != first").join(component, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    sizes = label.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", F.col("component").alias("main"))).alias("most"), F.sum("n").alias("members"))
+    mixed = sizes.select("band", "most.main", "members", (F.col("members") - F.col("most.n")).alias("others")).where("others > 0")
+    out = materialize(label.join(mixed, "band"))
+    release(label)
+    return out
+
+
+def _blocks(n: str) -> Column:
+    return F.ceil(F.col(n) / TILE).cast("int")
+
+
+def _side(rows: DataFrame, asks: bool, own: str, other: str) -> DataFrame:
+    """Rows with ``tile``: its own block (of ``own`` rows) with each block of the other side (of ``other`` rows); few have more
+    than one. asks says which side it is."""
+    block = F.pmod(F.xxhash64("doc_id", F.lit(asks)), _blocks(own)).cast("int")
+    first, rest = rows.withColumn("y", F.lit(0)), rows.where(_blocks(other) > 1).withColumn("y", F.explode(F.sequence(F.lit(1), _blocks(other) - 1)))
+    pair = (block, F.col("y")) if asks else (F.col("y"), block)
+    return first.union(rest).withColumn("tile", F.xxhash64(*pair)).withColumn("asks", F.lit(asks)).drop("y")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole tiles, from rows that are sorted by their first two columns."""
+    held: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, now]) if held is not None else now
+        if not rows.num_rows:
+            continue
+        values = [rows.column(i).to_numpy() for i in (0, 1)]
+        cuts = [0, *(np.flatnonzero((np.diff(values[0]) != 0) | (np.diff(values[1]) != 0)) + 1).tolist()]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            yield rows.slice(begin, end - begin)
+        held = rows.slice(cuts[-1])  # the last tile may go on in the next batch
+    if held is not None:
+        yield held
+
+
+def _words64(rows: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and where each list begins and ends."""
+    lists = rows.column(column).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))])
+
+
+def _candidates(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows that ask and rows asked in a tile that can be links by component, size and sketch, and the bits that differ."""
     limit = sketch_limit(percent / 100)
-    blocks = F.ceil(F.col("members") / TILE).cast("int")
-    dealt = apart.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "component", "n_shingles", "sketch")
+    asks, ids, component, n = (rows.column(c).to_numpy() for c in ("asks", "doc_id", "component", "n_shingles"))
+    sketch = _words64(rows, "sketch")[0].reshape(len(ids), -1)
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    for at in range(0, len(left), 64):
+        x = left[at : at + 64]
+        i, j = np.nonzero((component[x][:, None] != component[right]) & (100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right])))
+        i, j = x[i], right[j]
+        bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        near = bits <= limit
+        yield i[near], j[near], bits[near]
+
+
+def _nearest_outside(outside: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of a class outside its bucket's main component with its PARTNERS nearest classes of other
+    components in each tile of the bucket."""
+    rows = outside.join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    tiles = _side(rows.where("component != main"), True, "others", "members").union(_side(rows, False, "members", "others"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        for tile in _tiles(batches):
+            ids, n = tile.column("doc_id").to_numpy(), tile.column("n_shingles").to_numpy()
+            for i, j, bits in _candidates(tile, percent):
+                best = _nearest(i, j, bits, PARTNERS)
+                i, j = i[best], j[best]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[i], ids[j], n[i], n[j])], ["a", "b", "n_a", "n_b"])
 
-        def pairs(rows: pa.Table) -> pa.RecordBatch | None:
-            band, lo, hi, block, ids, component, n = (rows.column(i).to_numpy().astype(np.int64) for i in range(7))
-            sketch = rows.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-            cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
-            found = []
-            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                left = np.arange(begin, end)[block[begin:end] == lo[begin]]
-                right = left if lo[begin] == hi[begin] else np.arange(begin, end)[block[begin:end] == hi[begin]]
-                for at in range(0, len(left), 64):
-                    x = left[at : at + 64]
-                    fits = (component[x][:, None] != component[right]) & (100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right]))
-                    if lo[begin] == hi[begin]:
-                        fits &= ids[x][:, None] < ids[right]
-                    i, j = np.nonzero(fits)
-                    if len(i):
-                        near = np.bitwise_count(sketch[x[i]] ^ sketch[right[j]]).sum(axis=1, dtype=np.int64) <= limit
-                        found.append(np.stack([x[i[near]], right[j[near]]]))
-            if not found:
-                return None
-            i, j = np.concatenate(found, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[i], ids[j], n[i], n[j])], ["a", "b", "n_a", "n_b"])
+    tiles = tiles.select("band", "tile", "asks", "doc_id", "component", "n_shingles", "sketch")
+    return tiles.repartition("band", "tile").sortWithinPartitions("band", "tile").mapInArrow(run, "a long, b long, n_a long, n_b long").distinct()
 
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, now]) if held is not None else now
-            if not rows.num_rows:
-                continue
-            # The last tile may go on in the next batch.
-            same = np.ones(rows.num_rows, bool)
-            for c in ("band", "lo", "hi"):
-                value = rows.column(c).to_numpy()
-                same &= value == value[-1]
-            last = int(same.argmax())
-            held = rows.slice(last)
-            if last and (out := pairs(rows.slice(0, last))):
-                yield out
-        if held is not None and (out := pairs(held)):
-            yield out
-
-    return tiles.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a long, b long, n_a long, n_b long")
+
+def _links_outside(outside: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes outside a main component and classes that share a bucket of it, on the full sets.
+
+    A class meets a main component once, however many buckets they share, and passes on a link to each component at most.
+    """
+    met = outside.select("main", "doc_id", "component").distinct()
+    count = met.groupBy("main").agg(F.count("*").alias("members"), F.count_if(F.col("component") != F.col("main")).alias("others"))
+    wanted = materialize(met.select(F.col("doc_id").alias("id")).distinct())
+    few = wanted.count() <= BROADCAST_KEYS
+    again = texts.join(F.broadcast(wanted) if few else wanted, texts.doc_id == wanted.id, "left_semi")
+    sets = materialize(_sets(again, words).dropDuplicates(["id"]))
+    rows = materialize(met.join(count, "main")).join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id").join(sets.withColumnRenamed("id", "doc_id"), "doc_id")
+    tiles = _side(rows.where("component != main"), True, "others", "members").union(_side(rows, False, "members", "others"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles(batches):
+            ids, component = tile.column("doc_id").to_numpy(), tile.column("component").to_numpy()
+            values, at = _words64(tile, "hashes")
+            found = []
+            for i, j, bits in _candidates(tile, percent):
+                order = np.lexsort((bits, i))
+                i, j = i[order], j[order]
+                for x in np.unique(i):
+                    other, done = j[i == x], set()
+                    own = values[at[x] : at[x + 1]].view(np.int64)
+                    own = np.sort(own)
+                    for begin in range(0, len(other), 256):
+                        some = np.array([y for y in other[begin : begin + 256].tolist() if component[y] not in done], np.int64)
+                        if not len(some):
+                            continue
+                        parts = [values[at[y] : at[y + 1]].view(np.int64) for y in some.tolist()]
+                        flat, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+                        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                        both = np.add.reduceat(own[place] == flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+                        for y in some[100 * both >= percent * (len(own) + sizes - both)].tolist():
+                            if component[y] not in done:
+                                done.add(component[y])
+                                found.append((ids[x], ids[y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], ["a", "b"])
+
+    tiles = tiles.select("main", "tile", "asks", "doc_id", "component", "n_shingles", "sketch", "hashes")
+    links = materialize(tiles.repartition("main", "tile").sortWithinPartitions("main", "tile").mapInArrow(run, "a long, b long").distinct())
+    release(sets, wanted)
+    return links
 
 
 def _confirmed(near: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -218,20 +305,18 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     links = _confirmed(_by_sketch(starred, classes, percent), texts, words, percent)
     reached = materialize(components(links))
 
-    # Classes of a bucket that are in different components still, apart from the bucket's first.
-    label = shared.where("n > 2 and doc_id != first").join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    label = materialize(label)
-    mixed = label.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("band", "members")
-    apart = materialize(label.join(mixed, "band"))
-    more = _confirmed(_across(apart.join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id"), percent).distinct(), texts, words, percent)
-    if more.isEmpty():
-        final = reached
-    else:
-        final = materialize(components(links.union(more)))
-        release(reached)
-    release(shared, label, apart, links, more, classes)
-
-    named = by_set.join(final, by_set.rep == final.id, "left").select("n_shingles", "low", "high", F.coalesce("component", "rep").alias("component_id"), "rep", "copies").where("copies > 1 or component_id != rep").drop("rep", "copies")
+    for last in (False, True):
+        outside = _outside(shared, reached)
+        more = _links_outside(outside, classes, texts, words, percent) if last else _confirmed(_nearest_outside(outside, classes, percent), texts, words, percent)
+        release(outside)
+        if more.isEmpty():
+            continue
+        after = materialize(joined(reached, more))
+        release(more, reached)
+        reached = after
+    release(shared, links, classes)
+
+    named = by_set.join(reached, by_set.rep == reached.id, "left").select("n_shingles", "low", "high", F.coalesce("component", "rep").alias("component_id"), "rep", "copies").where("copies > 1 or component_id != rep").drop("rep", "copies")
     out = signed.select("doc_id", "n_shingles", "low", "high").join(named, ["n_shingles", "low", "high"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quillmill.llm import neardup, oracles, queries
-from quillmill.llm.components import components
+from quillmill.llm.components import components, joined
 from tests.conftest import same_rows
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -92,13 +92,22 @@ def test_odd_sketch_estimates_high_similarities():
         assert abs(neardup.estimate(bits) - share) < 0.1 and (share < 0.8 or bits <= neardup.sketch_limit(0.8))
 
 
-def test_nearest_keeps_the_first_of_either_side():
-    a, b, bits = np.array([1, 1, 1, 2]), np.array([5, 6, 7, 7]), np.array([3, 1, 2, 9])
-    assert neardup._nearest(a, b, bits, 1).tolist() == [True, True, True, True]
-    assert neardup._nearest(np.array([1, 1, 1]), np.array([5, 6, 5]), np.array([3, 1, 4]), 1).tolist() == [True, True, False]
+def test_nearest_keeps_the_first_of_each():
+    own, other, bits = np.array([1, 1, 1, 2]), np.array([5, 6, 7, 7]), np.array([3, 1, 2, 9])
+    assert neardup._nearest(own, other, bits, 1).tolist() == [False, True, False, True]
+    assert neardup._nearest(own, other, bits, 2).tolist() == [False, True, True, True]
 
 
 def test_components_of_a_long_path_and_loops(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 500), (7, 7), (900, 901), (901, 900), (None, 3)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 900: 900, 901: 900}
+
+
+def test_joined_equals_components_of_all_edges(spark):
+    rng = random.Random(6)
+    edge = lambda n: spark.createDataFrame([(rng.randrange(90), rng.randrange(90)) for _ in range(n)], "a long, b long")
+    first, more = edge(40).where("a != b"), edge(30).where("a != b")
+    both = {tuple(r) for r in components(first.union(more)).collect()}
+    assert {tuple(r) for r in joined(components(first), more).collect()} == both
+    assert {tuple(r) for r in joined(components(first), more.limit(0)).collect()} == {tuple(r) for r in components(first).collect()}
