@@ -9,8 +9,9 @@ held at a bound, so that few steps are needed. A document's
 rate is therefore a function of its posteriors and of the steps so far, which are as many numbers as domains and steps: each
 step is one aggregate over the documents, and no rates are stored in between.
 
-The training sample is bounded: per domain the PER_DOMAIN labelled documents with the smallest hash of their key. Counts by
-domain and bucket (BUCKETS at most) are the only table that is broadcast. All documents, whole texts, are scored.
+The training sample is bounded: per domain the PER_DOMAIN labelled documents with the smallest hash of their key; each task
+passes on as many a domain at most (Spark pushes such a limit below the shuffle up to 1000 rows). Counts by domain and bucket
+(BUCKETS at most) are the only table that is broadcast. All documents, whole texts, are scored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillmill.runtime import materialize, release
 
-PER_DOMAIN, BUCKETS, STEPS, TOLERANCE, SHARPNESS = 2000, 4096, 20, 1e-4, 24.0
+PER_DOMAIN, BUCKETS, STEPS, TOLERANCE, SHARPNESS = 1000, 4096, 20, 1e-4, 24.0
 
 
 def words(text: str) -> Column:
