@@ -299,7 +299,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     member = classes.select("doc_id", F.explode("bands").alias("band"))
-    buckets = member.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Written first, so that the join is a stage of its own, whose hot bands Spark can split.
+    buckets = materialize(member.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
     shared = materialize(member.join(buckets, "band").select("band", "first", "doc_id", "n"))
     starred = shared.where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     links = _confirmed(_by_sketch(starred, classes, percent), texts, words, percent)
@@ -314,7 +315,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
         after = materialize(joined(reached, more))
         release(more, reached)
         reached = after
-    release(shared, links, classes)
+    release(shared, buckets, links, classes)
 
     named = by_set.join(reached, by_set.rep == reached.id, "left").select("n_shingles", "low", "high", F.coalesce("component", "rep").alias("component_id"), "rep", "copies").where("copies > 1 or component_id != rep").drop("rep", "copies")
     out = signed.select("doc_id", "n_shingles", "low", "high").join(named, ["n_shingles", "low", "high"], "left")
