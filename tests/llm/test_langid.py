@@ -37,3 +37,23 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     from pyspark.sql import functions as F
 
     assert sorted(langid.learn(spark.createDataFrame(rows, DOC), where=F.col("doc_id") != 2)) == ["en"]
+
+
+def test_mixed_and_foreign_texts_go_and_clean_ones_stay_by_default(spark, sf_dir):
+    import random
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    plain = {r["lang"]: r["text"] for r in docs.where("length(text) between 4000 and 20000").orderBy("doc_id").collect() if r["lang"]}
+    one, two = sorted(plain)[:2]
+    odd = [" ".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (200, 2000)] + [" ".join(word("αβγδεζηθικλμνξοπ") for _ in range(n)) for n in (50, 2000)]
+    odd += [f"{plain[one][:4000]} {plain[two][:4000]}"]
+    rows = [(-1 - i, t, None, "s", len(t)) for i, t in enumerate(odd)]
+    frame = docs.union(spark.createDataFrame(rows, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, frame, sf_dir).collect()}
+    assert not [i for i in kept if i < 0]
+    labelled = {r["doc_id"] for r in docs.where("lang is not null and length(text) > 200").collect()}
+    assert len(labelled - kept) <= 0.02 * len(labelled)
