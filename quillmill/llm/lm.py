@@ -8,7 +8,7 @@ costs inside its bucket is a spelling model's: bytes that follow bytes.
 
 All documents are gathered from. Word and byte-pair counts of the whole corpus choose the vocabulary and set the biases, so
 that training begins at the corpus's own word frequencies. Then, in each of ROUNDS rounds, every task trains a copy of the
-network on its documents with Adagrad, masking one position in MASKED (another set of positions each round); what its rows
+network on its documents with Adagrad, predicting the positions whose turn it is (each position has one round); what its rows
 have moved by, weighted with its positions, is shuffled by row, added up in whole numbers (so that the order doesn't show)
 and averaged. Shuffled data grows with the input; what reaches the driver is one network, whose size is fixed.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.shingles import mix, word_hashes
 from quillmill.runtime import materialize, prepare, release
 
-SIDE, HIDDEN, WIDTH, ROUNDS, MASKED, STEP, RATE = 2, 32, 64, 2, 16, 2048, 0.1
+SIDE, HIDDEN, WIDTH, ROUNDS, STEP, RATE = 2, 32, 64, 2, 2048, 0.1
 WORDS = WIDTH * WIDTH
 EDGE = WORDS  # stands before and after a text
 _NAMED, _TEXTS, _HELD, _SLICE = WORDS - WIDTH, 4_000_000, 1_000_000, 1 << 15
@@ -265,6 +265,11 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, n
     return {"hashes": hashes, "rows": rows, "spelling": spelling.ravel()}
 
 
+def turns(ids: np.ndarray, owner: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The round in which each position is predicted; every position has one."""
+    return (mix(mix(ids.astype(np.uint64))[owner] + begins.astype(np.uint64)) % np.uint64(ROUNDS)).astype(np.int64)
+
+
 def _round(docs: DataFrame, hashes: np.ndarray, rows: np.ndarray, number: int) -> np.ndarray:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, vocabulary = Trainer(rows), Vocabulary(hashes)
@@ -272,8 +277,7 @@ def _round(docs: DataFrame, hashes: np.ndarray, rows: np.ndarray, number: int) -
             texts, ids = _as_bytes(batch.column(0)), batch.column(1).to_numpy()
             for a, b in _groups(texts):
                 padded, at, owner, begins, _ = _sequence(texts[a:b], vocabulary)
-                chance = mix(mix(ids[a:b].astype(np.uint64))[owner] + begins.astype(np.uint64)) % np.uint64(MASKED)
-                trainer.learn(padded, at[chance == np.uint64(number)])
+                trainer.learn(padded, at[turns(ids[a:b], owner, begins) == number])
         moved, by = trainer.moves()
         for i in range(0, len(moved), 4096):
             some = by[i : i + 4096]

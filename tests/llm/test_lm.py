@@ -102,3 +102,10 @@ def test_query_scores_every_document(spark, sf_dir):
     got = queries.op8_lm_score(spark, sf_dir).collect()
     want = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in docs.collect()}
     assert {r["doc_id"]: r["n_words"] for r in got} == want and all(r["log_prob"] <= 0 for r in got)
+
+
+def test_every_position_is_learnt_from_once():
+    texts = [b"a b c d e f g " * 40, b"", b"x y z " * 90]
+    _, _, owner, begins, _ = lm._sequence(texts, lm.Vocabulary(np.zeros(0, np.uint64)))
+    turn = lm.turns(np.array([7, 8, 9]), owner, begins)
+    assert len(turn) == 550 and sum(int((turn == number).sum()) for number in range(lm.ROUNDS)) == 550
