@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 #: Rows in one Arrow batch: whole texts can be long, so that Spark's 10,000 would be too many.
 BATCH_ROWS = 512
+#: Bytes in one Arrow batch; a batch has one row at least, however long its text is.
+BATCH_BYTES = "8m"
 
 _left: dict[str, SparkSession] = {}
 
@@ -34,6 +36,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
