@@ -38,10 +38,37 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+#: Bytes that are hashed at once; longer inputs are taken in slices that end in white space.
+SLICE = 1 << 20
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words (runs of bytes other than ASCII white space) of the texts in order: hash, text, first byte, end byte."""
-    byte, blank = _tables()
+    """Of all words (runs of bytes other than ASCII white space) of the texts in order: hash, text, first byte, end byte.
+
+    Besides its result it needs some SLICE * 40 bytes (and that much for each SLICE of a longer word).
+    """
+    _, blank = _tables()
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    found, at = [], 0
+    while at < len(data) - 1:
+        stop = min(len(data), at + SLICE)
+        while stop < len(data):  # on to the next white space
+            gap = np.flatnonzero(blank[data[stop : stop + SLICE]])
+            stop = min(len(data), stop + (int(gap[0]) + 1 if len(gap) else SLICE))
+            if len(gap):
+                break
+        hashes, starts, ends = _hashed(data[at:stop])
+        found.append((hashes, starts + at, ends + at))
+        at = stop - 1  # the white space that ends this slice begins the next
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    begins = np.concatenate([[1], 1 + np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+    owner = np.searchsorted(begins, starts, "right") - 1
+    return hashes, owner, starts - begins[owner], ends - begins[owner]
+
+
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and end byte of each word of bytes that begin and end with white space."""
+    byte, blank = _tables()
     white = blank[data]
     starts = np.flatnonzero(white[:-1] & ~white[1:]) + 1
     ends = np.flatnonzero(~white[:-1] & white[1:]) + 1
@@ -49,10 +76,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(byte[data] * power[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + _FIRST * (ends - starts).astype(np.uint64))
-    begins = np.concatenate([[1], 1 + np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
-    owner = np.searchsorted(begins, starts, "right") - 1
-    return hashes, owner, starts - begins[owner], ends - begins[owner]
+    return mix((total[ends] - total[starts]) * inverse[starts] + _FIRST * (ends - starts).astype(np.uint64)), starts, ends
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
