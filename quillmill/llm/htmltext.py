@@ -17,28 +17,33 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillmill.llm.shingles import word_hashes
 from quillmill.runtime import prepare
 
 FEATURES, WIDTH, HIDDEN, PAGES, EPOCHS, SEED = 4096, 24, 24, 2400, 6, 7
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br svg path".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br path".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg object select option".split())
+#: Up to their closing tag these hold no markup. Without one the rest of the page is theirs, for those in SWALLOWS.
+RAW = frozenset("script style noscript textarea title iframe xmp noembed noframes".split())
+SWALLOWS = frozenset("script style".split())
+#: What these hold is not text of the page.
+UNSEEN = frozenset("template svg object select datalist option optgroup".split())
+CHOICES = frozenset("select datalist option optgroup".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
-@cache
+@lru_cache(1 << 16)
 def _feature(kind: str, value: str) -> int:
-    own = zlib.crc32(f"{kind}:{value}".encode()) % (FEATURES // 2)
-    return own + FEATURES // 2 if kind == "word" else own
+    return zlib.crc32(f"{kind}:{value}".encode()) % (FEATURES // 2)
 
 
 def blocks(page: str) -> list[tuple[list[str], str, float]]:
@@ -47,6 +52,7 @@ def blocks(page: str) -> list[tuple[list[str], str, float]]:
     stack: list[tuple[str, str]] = []
     text: list[str] = []
     linked = total = links = 0
+    hidden, unclosed = False, set()
 
     def flush() -> None:
         nonlocal linked, total
@@ -60,7 +66,7 @@ def blocks(page: str) -> list[tuple[list[str], str, float]]:
     while at < n:
         found = _TOKEN.search(page, at)
         stop = found.start() if found else n
-        if stop > at:
+        if stop > at and not hidden:
             text.append(page[at:stop])
             total += stop - at
             linked += (stop - at) * (links > 0)
@@ -70,9 +76,13 @@ def blocks(page: str) -> list[tuple[list[str], str, float]]:
         if not (tag := (found[2] or "").lower()):
             continue
         if tag in RAW:
-            if not found[1] and not found[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else n
+            if not found[1] and tag not in unclosed:
+                if close := re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at):
+                    at = close.end()
+                elif tag in SWALLOWS:
+                    at = n
+                else:
+                    unclosed.add(tag)
             continue
         if tag == "a":
             links = max(0, links + (-1 if found[1] else 1))
@@ -87,32 +97,46 @@ def blocks(page: str) -> list[tuple[list[str], str, float]]:
                     del stack[i:]
                     break
             links = 0
-        elif tag not in VOID:
+        elif tag not in VOID and not (tag in UNSEEN and found[3].endswith("/")):
+            while tag in CLOSES_P and stack and stack[-1][0] in CHOICES:
+                stack.pop()  # blocks can't stand among choices: these were left open
             if tag in CLOSES_P and stack and stack[-1][0] == "p" or tag in ("li", "tr", "td", "dt", "dd", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
             name = " ".join(m[1].strip("\"'") for m in _NAME.finditer(found[3])).lower() if "=" in found[3] else ""
             stack.append((tag, f"{tag} {name}".strip() if tag not in ("html", "body") else ""))
+        hidden = any(t in UNSEEN for t, _ in stack)
     flush()
     return out
 
 
-def features(page: list[tuple[list[str], str, float]]) -> list[np.ndarray]:
-    """Feature numbers of each block."""
+Features = tuple[np.ndarray, np.ndarray]
+
+
+def weighted(own: np.ndarray) -> Features:
+    """Feature numbers with weights: what isn't a word counts one over the root of how many there are, and so do words."""
+    word = own >= FEATURES // 2
+    n = int(np.count_nonzero(word))
+    return own, np.where(word, 1 / np.sqrt(max(n, 1)), 1 / np.sqrt(max(len(own) - n, 1))).astype(np.float32)
+
+
+def features(page: list[tuple[list[str], str, float]]) -> list[Features]:
+    """Features of each block: its place, and all its words."""
+    hashes, owner, _, _ = word_hashes([text.lower().encode() for _, text, _ in page])
+    words = (hashes % np.uint64(FEATURES // 2)).astype(np.int64) + FEATURES // 2
+    cuts = np.searchsorted(owner, np.arange(len(page) + 1))
     out = []
-    for path, text, share in page:
+    for i, (path, text, share) in enumerate(page):
         found = {_feature("depth", str(min(len(path), 8))), _feature("size", str(min(9, len(text).bit_length()))), _feature("links", str(int(share * 4)))}
-        for i, part in enumerate(path):
+        for depth, part in enumerate(path):
             tag, _, names = part.partition(" ")
             found.add(_feature("in", tag))
-            if i == len(path) - 1:
+            if depth == len(path) - 1:
                 found.add(_feature("leaf", tag))
             for name in _SPLIT.split(names):
                 if name:
                     found.add(_feature("name", name))
-        words = text.lower().split(None, 13)[:12]
-        found.update(_feature("word", w) for w in words)
         found.add(_feature("end", text[-1] if not text[-1].isalnum() else "a"))
-        out.append(np.fromiter(found, np.int64, len(found)))
+        out.append(weighted(np.concatenate([np.fromiter(found, np.int64, len(found)), words[cuts[i] : cuts[i + 1]]])))
     return out
 
 
@@ -132,20 +156,21 @@ class Labeller:
             self.p |= {f"x{way}": draw(WIDTH, 4 * HIDDEN), f"h{way}": draw(HIDDEN, 4 * HIDDEN), f"c{way}": np.zeros(4 * HIDDEN, np.float32)}
             self.p[f"c{way}"][HIDDEN : 2 * HIDDEN] = 1
 
-    def inputs(self, pages: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, pages: list[list[Features]]) -> tuple[np.ndarray, np.ndarray]:
         """(step, page, width) means of the features' vectors, and which are blocks."""
         steps = max(map(len, pages))
         x, mask = np.zeros((steps, len(pages), WIDTH), np.float32), np.zeros((steps, len(pages)), np.float32)
-        flat = [f for page in pages for f in page]
+        flat = [f for page in pages for f, _ in page]
         sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-        sums = np.add.reduceat(self.p["embed"][np.concatenate(flat)], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / np.sqrt(sizes)[:, None]
+        share = np.concatenate([w for page in pages for _, w in page])
+        sums = np.add.reduceat(self.p["embed"][np.concatenate(flat)] * share[:, None], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
         at = 0
         for i, page in enumerate(pages):
             x[: len(page), i], mask[: len(page), i] = sums[at : at + len(page)], 1
             at += len(page)
         return x, mask
 
-    def lstm(self, x: np.ndarray, mask: np.ndarray, way: str) -> tuple[np.ndarray, list]:
+    def lstm(self, x: np.ndarray, mask: np.ndarray, way: str, keep_trace: bool = True) -> tuple[np.ndarray, list]:
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
         out, trace = np.zeros((*x.shape[:2], HIDDEN), np.float32), []
         before = x @ self.p[f"x{way}"] + self.p[f"c{way}"]
@@ -156,19 +181,20 @@ class Labeller:
             new = f * c + i * g
             act = np.tanh(new)
             keep = mask[t][:, None]
-            trace.append((t, h, c, i, f, o, g, act, keep))
+            if keep_trace:
+                trace.append((t, h, c, i, f, o, g, act, keep))
             h, c = keep * (o * act) + (1 - keep) * h, keep * new + (1 - keep) * c
             out[t] = h
         return out, trace
 
-    def scores(self, pages: list[list[np.ndarray]]) -> list[np.ndarray]:
+    def scores(self, pages: list[list[Features]]) -> list[np.ndarray]:
         """Log odds that each block is main text."""
         x, mask = self.inputs(pages)
-        both = np.concatenate([self.lstm(x, mask, "f")[0], self.lstm(x, mask, "b")[0], x], axis=2)
+        both = np.concatenate([self.lstm(x, mask, "f", False)[0], self.lstm(x, mask, "b", False)[0], x], axis=2)
         z = both @ self.p["out"] + self.p["bias"]
         return [z[: len(page), i] for i, page in enumerate(pages)]
 
-    def gradients(self, pages: list[list[np.ndarray]], labels: list[list[int]]) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, pages: list[list[Features]], labels: list[list[int]]) -> tuple[float, dict[str, np.ndarray]]:
         x, mask = self.inputs(pages)
         want = np.zeros_like(mask)
         for i, own in enumerate(labels):
@@ -198,12 +224,13 @@ class Labeller:
                 dx[t] += dgates @ self.p[f"x{way}"].T
                 dh, dc = (1 - keep) * dh + dgates @ self.p[f"h{way}"].T, (1 - keep) * dc + dcell * f
         rows = np.concatenate([dx[: len(page), i] for i, page in enumerate(pages)])
-        flat = [f for page in pages for f in page]
+        flat = [f for page in pages for f, _ in page]
         sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-        np.add.at(grad["embed"], np.concatenate(flat), np.repeat(rows / np.sqrt(sizes)[:, None], sizes, axis=0))
+        share = np.concatenate([w for page in pages for _, w in page])
+        np.add.at(grad["embed"], np.concatenate(flat), np.repeat(rows, sizes, axis=0) * share[:, None])
         return loss, grad
 
-    def train(self, pages: list[list[np.ndarray]], labels: list[list[int]], epochs: int = EPOCHS, batch: int = 24, rate: float = 4e-3) -> float:
+    def train(self, pages: list[list[Features]], labels: list[list[int]], epochs: int = EPOCHS, batch: int = 24, rate: float = 4e-3) -> float:
         rng = np.random.default_rng(SEED)
         first, second, step, loss = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0, 0.0
         by_size = np.argsort([len(p) for p in pages], kind="stable")
@@ -211,7 +238,7 @@ class Labeller:
         for epoch in range(epochs):
             for g in rng.permutation(len(groups)):
                 # Most words are left out each time, so that structure is learned first.
-                seen = [[f[(f < FEATURES // 2) | (rng.random(len(f)) < 0.3)] for f in pages[i]] for i in groups[g]]
+                seen = [[weighted(f[(f < FEATURES // 2) | (rng.random(len(f)) < 0.3)]) for f, _ in pages[i]] for i in groups[g]]
                 loss, grad = self.gradients(seen, [labels[i] for i in groups[g]])
                 step += 1
                 for k, d in grad.items():
@@ -337,7 +364,7 @@ class _Writer:
         return "".join(self.out), self.labels
 
 
-def samples(seeds: range) -> tuple[list[list[np.ndarray]], list[list[int]]]:
+def samples(seeds: range) -> tuple[list[list[Features]], list[list[int]]]:
     """Features and labels of generated pages whose blocks are found as they were written."""
     pages, labels = [], []
     for seed in seeds:
@@ -360,19 +387,29 @@ def labeller() -> Labeller:
     return _trained[0]
 
 
-def main_texts(pages: list[str | None], network: Labeller, batch: int = 48) -> list[str]:
+#: Steps times pages that the network reads at once; a longer page is read alone.
+STEPS = 4096
+
+
+def main_texts(pages: list[str | None], network: Labeller) -> list[str]:
     cut = [blocks(p or "") for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i, b in enumerate(cut) if b), key=lambda i: len(cut[i]))
-    for at in range(0, len(order), batch):
-        some = order[at : at + batch]
+    while order:
+        size = 1
+        while size < len(order) and size < 48 and (size + 1) * len(cut[order[size]]) <= STEPS:
+            size += 1
+        some, order = order[:size], order[size:]
         for i, score in zip(some, network.scores([features(cut[i]) for i in some]), strict=True):
             out[i] = " ".join(text for (_, text, _), s in zip(cut[i], score.tolist(), strict=True) if s > 0)
     return out
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
-    """df without its html column, with text (string) and n_chars (long) added, which must not be names of its columns."""
+    """df without its html column, with text (string) and n_chars (long) added, which must not be names of its columns.
+
+    Every row is read by itself: repeated rows give the same text each, and an empty table gives no rows.
+    """
     from pyspark.sql.types import LongType, StringType, StructType
 
     prepare(df.sparkSession)

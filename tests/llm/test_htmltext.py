@@ -55,3 +55,46 @@ def test_every_page_has_a_row(spark, sf_dir):
     got = queries.op9_html_text(spark, sf_dir).collect()
     assert len(got) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     assert sum(r["n_chars"] > 0 for r in got) > 0.9 * len(got)
+
+
+def test_markup_that_is_not_well_formed_loses_no_text():
+    texts = lambda page: [text for _, text, _ in htmltext.blocks(page)]
+    assert texts("<p title=it's>hello</p><p>world's end</p>") == ["hello", "world's end"]
+    assert texts('<p title="a > b">x</p><p alt="never closed>y</p><p>z</p>')[0] == "x"
+    assert texts("<form><datalist><option value=a>no<option value=b>no</datalist></form><article>Text.</article>") == ["Text."]
+    assert texts("<select><option>no<article>Text.</article>") == ["Text."]
+    assert texts("<title>Never closed <p>Text.</p>") == ["Never closed", "Text."]
+    assert texts("<textarea>no</textarea><svg><title>no</title><text>no</text></svg>Text.<script>var a = '<p>no</p>'") == ["Text."]
+
+
+def test_every_word_of_a_block_is_a_feature():
+    import numpy as np
+
+    same = "one two three four five six seven eight nine ten eleven twelve "
+    a, b = (htmltext.features([(["p"], same + end, 0.0)])[0][0] for end in ("thirteen", "fourteen"))
+    assert not np.array_equal(np.sort(a), np.sort(b))
+
+
+def test_article_of_every_test_page_is_kept_and_nothing_else(spark):
+    """The test pages' main text stands in an article element, which the network isn't told."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in htmltext.extract(pages.select("page_id", "url", "html")).collect()}
+    kept = wrong = missed = 0
+    for r in pages.collect():
+        want = [text for path, text, _ in htmltext.blocks(r["html"]) if "article" in path]
+        truth = " ".join(want)
+        kept += len(truth)
+        if found[r["page_id"]] != truth:
+            others = [text for path, text, _ in htmltext.blocks(r["html"]) if "article" not in path]
+            missed += sum(len(x) for x in want if x not in found[r["page_id"]])
+            wrong += sum(len(x) for x in others if x in found[r["page_id"]])
+    assert missed <= 0.01 * kept and wrong <= 0.01 * kept
+
+
+def test_long_pages_and_empty_tables(spark):
+    schema = "page_id long, html string, url string"
+    long = "<article>" + "<p>Some words of a paragraph that goes on for a while, and ends.</p>" * 20_000 + "</article>"
+    rows = spark.createDataFrame([(1, long, "a"), (2, None, None), (3, "", "c"), (3, "", "c")], schema)
+    found = {r["page_id"]: r["n_chars"] for r in htmltext.extract(rows).collect()}
+    assert found[1] > 1_000_000 and found[2] == found[3] == 0
+    assert htmltext.extract(rows.limit(0)).collect() == [] and htmltext.extract(rows).count() == 4
