@@ -41,6 +41,7 @@ def search(ids: np.ndarray, exact: np.ndarray, query_ids: np.ndarray, queries: n
     for begin in range(0, len(queries), 64):
         some = queries[begin : begin + 64].astype(np.float64)
         bounds = np.maximum(some, 0) @ ceiling.T + np.minimum(some, 0) @ floor.T
+        bounds += 1e-12 * (np.abs(some) @ np.maximum(np.abs(ceiling), np.abs(floor)).T)  # more than rounding can take away
         for q, query, bound in zip(query_ids[begin : begin + 64].tolist(), queries[begin : begin + 64], bounds, strict=True):
             bound[ids == q] = -np.inf
             best: list[tuple[int, int]] = []
@@ -69,7 +70,7 @@ def search(ids: np.ndarray, exact: np.ndarray, query_ids: np.ndarray, queries: n
 def scaled(embedding: str, scale: int) -> Column:
     """Components as floor(scale * x), or null for a vector that is null or has null or non-finite components."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(F.col(embedding).isNotNull() & ~bad, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("int")))
+    return F.when(F.col(embedding).isNotNull() & ~bad, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:

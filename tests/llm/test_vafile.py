@@ -45,3 +45,15 @@ def test_search_reads_few_exact_vectors_and_is_exact():
     for i in range(5):
         order = np.lexsort((np.arange(3000), -scores[i]))[:5]
         assert [(v, s) for q, v, s in got if q == 9000 + i] == [(int(j), int(scores[i, j])) for j in order]
+
+
+def test_large_components(spark):
+    rows = [(i, [9.0e6 - 1000 * (i % 7), 3.0 - i]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    exact = {r["vec_id"]: [math.floor(256 * x) for x in r["embedding"]] for r in frame.collect()}
+    found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vafile.top_k(frame, F.col("vec_id") % 50 == 0, k=3).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], v, strict=True)), i) for i, v in exact.items() if i != q)[:3]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert found == want
