@@ -1,7 +1,7 @@
 """Session helpers shared by every part of the library.
 
 Everything written here goes to the folder in ``spark.checkpoint.dir``, which all executors share. Where that setting is
-absent (tests, a laptop) a private temporary folder is set for the session instead.
+absent in local mode (tests, a laptop) a private temporary folder is set for the session instead; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else ""
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quillmill-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
