@@ -108,7 +108,7 @@ def page_number_lines(spark, sf_dir):
 
 
 HEAD = f"(p <> '' AND length(p) <= 120 AND regexp_matches(p, '^(#{{1,6}}[{WI}]+[^\\n]|[A-Z][A-Z{WI}]{{4,}}(?m:$)|\\p{{Nd}}+\\.\\p{{Nd}}*[{WI}]+[A-Z]|(?i:Chapter|Section|Part)[{WI}]+\\p{{Nd}})'))"
-TITLED = "select doc_id, case doc_id % 5 when 0 then concat('# ', substring(text,1,40)) when 1 then upper(substring(text,1,60)) when 2 then concat('1.2 ', substring(text,1,50)) when 3 then concat('section 3 ', substring(text,1,30)) else text end as t from {documents}"
+TITLED = "select doc_id, case doc_id % 5 when 0 then concat('# ', text) when 1 then upper(text) when 2 then concat('1.2 ', text) when 3 then concat('section 3 ', text) else text end as t from {documents}"
 
 
 @query(f"SELECT doc_id, {HEAD} AS is_header FROM (SELECT doc_id, {S('t')} AS p FROM ({TITLED.replace('{documents}', 'documents')}))")
@@ -364,7 +364,7 @@ def page_estimate(spark, sf_dir):
 
 def lines(spark, sf_dir):
     d = documents(spark, sf_dir)
-    line = F.to_json(F.struct(F.when(col("doc_id") % 17 == 0, "  ").otherwise(F.substring("text", 1, 80)).alias("text"), F.struct(F.concat(F.lit("in/"), col("source"), F.lit(".pdf")).alias("source_path"), col("doc_id").cast("int").alias("chunk_index"), (col("n_chars") / 7).alias("quality_score")).alias("metadata")))
+    line = F.to_json(F.struct(F.when(col("doc_id") % 17 == 0, "  ").otherwise(F.col("text")).alias("text"), F.struct(F.concat(F.lit("in/"), col("source"), F.lit(".pdf")).alias("source_path"), col("doc_id").cast("int").alias("chunk_index"), (col("n_chars") / 7).alias("quality_score")).alias("metadata")))
     return d.select("doc_id", F.when(col("doc_id") % 7 == 0, "NOT_JSON").when(col("doc_id") % 11 == 0, "# comment").when(col("doc_id") % 13 == 0, "").otherwise(line).alias("value"))
 
 
@@ -381,12 +381,12 @@ def index_stats(spark, sf_dir):
     return index.stats(files.parse_lines(lines(spark, sf_dir)).where("status = 'ok'").select("raw.text"))
 
 
-@query(f"SELECT doc_id, substring(text, 1, 80) AS text FROM documents WHERE {STATUS} = 'ok' AND doc_id % 17 <> 0")
+@query(f"SELECT doc_id, text FROM documents WHERE {STATUS} = 'ok' AND doc_id % 17 <> 0")
 def skip_empty_chunks(spark, sf_dir):
     return files.parse_lines(lines(spark, sf_dir)).where("status = 'ok'").select("doc_id", "raw.text").where(~T.is_blank(col("text")))
 
 
-@query(f"SELECT CASE WHEN doc_id % 17 = 0 THEN '  ' ELSE substring(text, 1, 80) END AS text, source AS document_id, CAST(doc_id AS INTEGER) AS chunk_index, 'in/' || source || '.pdf' AS source_file, -1 AS page_number, '' AS section, 0 AS char_start, 0 AS char_end, 0 AS word_count, n_chars / 7 AS quality_score, '' AS chunker_name, '' AS document_title, -1 AS total_chunks, '' AS quality_level FROM documents WHERE {STATUS} = 'ok'")
+@query(f"SELECT CASE WHEN doc_id % 17 = 0 THEN '  ' ELSE text END AS text, source AS document_id, CAST(doc_id AS INTEGER) AS chunk_index, 'in/' || source || '.pdf' AS source_file, -1 AS page_number, '' AS section, 0 AS char_start, 0 AS char_end, 0 AS word_count, n_chars / 7 AS quality_score, '' AS chunker_name, '' AS document_title, -1 AS total_chunks, '' AS quality_level FROM documents WHERE {STATUS} = 'ok'")
 def chunk_record(spark, sf_dir):
     return files.records(files.parse_lines(lines(spark, sf_dir)).where("status = 'ok'").select("raw.text", "raw.metadata")).drop("chunk_id")
 
@@ -493,12 +493,12 @@ def cosine_score(spark, sf_dir):
 
 @query(
     """WITH v AS (SELECT vec_id, chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM idx),
-p AS (SELECT q.vec_id AS query_id, v.chunk_id, greatest(0.0, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)))) AS s FROM v q JOIN v ON q.vec_id < 3)
+p AS (SELECT q.vec_id AS query_id, v.chunk_id, greatest(0.0, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)))) AS s FROM v q JOIN v ON q.vec_id % 20 = 0)
 SELECT query_id, chunk_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 5""",
     "idx",
 )
 def vector_topk_batch(spark, sf_dir):
-    asked = [(r["vec_id"], r["embedding"]) for r in table(spark, sf_dir, "embeddings").where("vec_id < 3").select("vec_id", "embedding").collect()]
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(col("vec_id").alias("query_id"), "embedding")
     return search.top_k_batch(fixture(spark, sf_dir, "idx"), asked)
 
 
