@@ -19,6 +19,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,20 @@ GAP, COLUMNS = 5e-4, 4000
 SMOOTH = 0.9
 
 
+#: The parts of a tokenizer file that words can be encoded apart under; any other file is left to the library, text by text.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Words of these characters, in lower case, are cut by the pattern below as by PATTERN; all letters from U+00DF on are letters to both.
+_PLAIN = re.compile(r"[!-~ß-öø-ſ]+\Z").match
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+").findall
+
+
 class WordEncoder:
     """Ids of a vocabulary whose pattern never joins characters across white space.
 
-    Each distinct word between white space is encoded by the ``tokenizers`` library once, as it stands in the text; texts
-    with special strings or separators that the two sides see differently go to the library whole, and so does every text
-    where the file has other parts than those handled here.
+    Each distinct word between white space is cut by the pattern, and each distinct part is encoded by the ``tokenizers``
+    library once; words of other characters go to it as they stand. Texts with special strings or separators that the two
+    sides see differently go to the library whole, and so does every text where the file's parts are not those above.
     """
 
     def __init__(self, path: str):
@@ -53,32 +62,51 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *(re.escape(t["content"]) for t in spec["added_tokens"])]))
-        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and steps[0].get("type") == "Split" and bool(steps[0].get("invert")) and not spec["post_processor"]
+        self.marks = ["\x1c", "\x1d", "\x1e", "\x1f", *(t["content"] for t in spec["added_tokens"])]
+        first, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        by_pattern = first.get("pattern") == {"Regex": PATTERN} and bool(first.get("invert")) and [x.get("type") for x in rest] == ["ByteLevel"] and not rest[0].get("use_regex", True) and not rest[0].get("add_prefix_space", True)
+        self.by_word = (spec["normalizer"] or {}).get("normalizers") == NORMALIZER and by_pattern and not spec["post_processor"]
+        suffix, vocabulary = spec["model"].get("end_of_word_suffix"), self.library.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+        self.by_word &= bool(suffix) and spec["model"].get("unk_token") is None
         self.memo: dict[str, bytes] = {}
-
-    @staticmethod
-    def pack(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+        self.parts: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.parts) > MEMO:
+            self.parts.clear()
+        cut = [_CUT(w) if _PLAIN(w) else None for w in words]
+        new = list(set(chain.from_iterable(x for x in cut if x)).difference(self.parts))
+        if new:
+            # Many at once, as one text; the last id of each part is one that ends a part.
+            ids = np.concatenate(self._encoded([" ".join(new[i : i + 64]) for i in range(0, len(new), 64)]))
+            data, ends = ids.tobytes(), (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            self.parts.update(zip(new, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        part = self.parts.__getitem__
+        self.memo.update((w, b"".join(map(part, x)) if len(x) > 1 else part(x[0])) for w, x in zip(words, cut, strict=True) if x)
+        others = [w for w, x in zip(words, cut, strict=True) if not x]
+        self.memo.update(zip(others, (x.tobytes() for x in self._encoded(others)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, found = self.memo, []
+        found: list[list[str] | None] = []
         for text in texts:
-            if not self.by_word or self.whole.search(text):
+            if not self.by_word or any(map(text.__contains__, self.marks)):
                 found.append(None)
             elif text.isascii():
                 found.append(text.lower().split())
             else:  # the library's lower case knows no final sigma
                 found.append(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split())
-        new = [w for w in {w for words in found if words for w in words} if w not in memo]
-        for word, ids in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[word] = self.pack(ids.ids)
-        return [self.pack(self.library.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(memo.__getitem__, w)) for t, w in zip(texts, found, strict=True)]
+        if new := list(set().union(*filter(None, found)).difference(self.memo)):
+            self._learn(new)
+        word = self.memo.__getitem__
+        return [self._encoded([t])[0].tobytes() if w is None else b"".join(map(word, w)) for t, w in zip(texts, found, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
