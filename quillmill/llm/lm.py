@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.shingles import mix, word_hashes
 from quillmill.runtime import materialize, prepare, release
 
-SIDE, HIDDEN, WIDTH, ROUNDS, STEP, RATE = 2, 32, 64, 2, 2048, 0.1
+SIDE, HIDDEN, WIDTH, ROUNDS, STEP, RATE = 2, 32, 64, 2, 4096, 0.12
 WORDS = WIDTH * WIDTH
 EDGE = WORDS  # stands before and after a text
 _NAMED, _TEXTS, _HELD, _SLICE = WORDS - WIDTH, 4_000_000, 1_000_000, 1 << 15
@@ -71,10 +71,22 @@ def _hidden(net: Network, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.maximum(total, 0, out=total)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _weights(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials of the columns of x less a number each, the sums of each column, and that number; x is overwritten."""
+    less: np.ndarray | float = 0.0
+    if x.size and (x.max() > 60 or x.min() < -60):  # float32 holds what lies between
+        less = x.max(axis=0)
+        x -= less
+    np.exp(x, out=x)
+    return x, x.sum(axis=0), less
+
+
+def _log_of(x: np.ndarray, chosen: np.ndarray | int) -> np.ndarray:
+    """The log-softmax of each column of x at its chosen row."""
+    at = x[chosen] if isinstance(chosen, int) else x[chosen, np.arange(x.shape[1])]
+    at = at.copy()
+    _, total, less = _weights(x)
+    return at - less - np.log(total)
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -92,13 +104,13 @@ def log_probs(net: Network, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         here = at[i : i + _SLICE]
         order, groups = _by_class(padded[here])
         here = here[order]
-        hidden, member = _hidden(net, padded, here), padded[here] % WIDTH
+        hidden, member = np.ascontiguousarray(_hidden(net, padded, here).T), padded[here] % WIDTH
         found = np.empty(len(here), np.float32)
         for k, a, b in groups:
-            first, second = hidden[a:b] @ net.classes.T, hidden[a:b] @ net.words[k].T
-            first += net.class_bias
-            second += net.word_bias[k]
-            found[a:b] = _log_softmax(first)[:, k] + _log_softmax(second)[np.arange(b - a), member[a:b]]
+            first, second = net.classes @ hidden[:, a:b], net.words[k] @ hidden[:, a:b]
+            first += net.class_bias[:, None]
+            second += net.word_bias[k][:, None]
+            found[a:b] = _log_of(first, k) + _log_of(second, member[a:b])
         out[i + order] = found
     return out
 
@@ -110,19 +122,21 @@ def gradient(net: Network, padded: np.ndarray, at: np.ndarray) -> Iterator[tuple
     order, groups = _by_class(padded[at])
     at = at[order]
     hidden, target, share = _hidden(net, padded, at), padded[at], np.float32(1 / len(at))
-    back = np.empty_like(hidden)
-    first = np.exp(_log_softmax(hidden @ net.classes.T + net.class_bias))
-    first[np.arange(len(at)), target // WIDTH] -= 1
-    first *= share
-    out.classes[:], out.class_bias[:] = first.T @ hidden, first.sum(axis=0)
-    np.matmul(first, net.classes, out=back)
+    # A column for each place, so that sums and maxima run along the places.
+    across = np.ascontiguousarray(hidden.T)
+    first, total, _ = _weights(net.classes @ across + net.class_bias[:, None])
+    first *= share / total
+    first[target // WIDTH, np.arange(len(at))] -= share
+    out.classes[:], out.class_bias[:] = first @ hidden, first.sum(axis=1)
+    back = net.classes.T @ first
     for k, a, b in groups:
-        second = np.exp(_log_softmax(hidden[a:b] @ net.words[k].T + net.word_bias[k]))
-        second[np.arange(b - a), target[a:b] % WIDTH] -= 1
-        second *= share
-        out.words[k], out.word_bias[k] = second.T @ hidden[a:b], second.sum(axis=0)
-        back[a:b] += second @ net.words[k]
-    back *= hidden > 0
+        second, total, _ = _weights(net.words[k] @ across[:, a:b] + net.word_bias[k][:, None])
+        second *= share / total
+        second[target[a:b] % WIDTH, np.arange(b - a)] -= share
+        out.words[k], out.word_bias[k] = second @ hidden[a:b], second.sum(axis=1)
+        back[:, a:b] += net.words[k].T @ second
+    back *= across > 0
+    back = np.ascontiguousarray(back.T)
     out.bias[:] = back.sum(axis=0)
     yield slice(_INPUT, ROWS), tail
     for i, place in enumerate(_PLACES):
