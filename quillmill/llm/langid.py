@@ -10,14 +10,16 @@ which blocks with more than ``most_foreign`` of the bytes are told apart, by the
 comes from held-out labelled rows at sf0.01 (188 right ones have 0.067 or more, the wrong one 0; random letters 0.057 at most).
 Languages mixed inside one block are rejected by the margin only. op7 keeps the prediction of rejected texts too.
 
-The sample: of each language the PER_LANGUAGE texts with the smallest hash of their id, SAMPLE_CHARS characters of each at
-most, DICTIONARY_BYTES in all. Only this sample is bounded; predictions read whole texts. A text that is null or has no
-letter is ``und`` with score 0, as is every text where nothing was learned. Ties go to the language with the most labelled rows, then
-to the alphabetically first.
+The sample: of each language the PER_LANGUAGE texts with the smallest hash of their id are cut, whole, into pieces of
+PIECE characters, and the PIECES pieces with the smallest hash, from wherever in these texts, are its dictionary. Only this
+sample is bounded; predictions read whole texts. A text that is null or has no letter is ``und`` with score 0, as is every
+text where nothing was learned. Ties go to the language with the most labelled rows, then to the alphabetically first.
+Repeated rows are predicted each, alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from quillmill.runtime import prepare
 
-PER_LANGUAGE, SAMPLE_CHARS, DICTIONARY_BYTES, EVIDENCE, LEVEL, BLOCK = 200, 1000, 100_000, 400, 12, 1024
+PER_LANGUAGE, PIECE, PIECES, EVIDENCE, LEVEL, BLOCK = 200, 500, 200, 400, 12, 1024
+#: Results that a worker remembers of texts that have occurred.
+MEMO = 50_000
 LEAST_SHARE, MOST_FOREIGN = 0.06, 0.2
 UNKNOWN = "und"
 
@@ -36,7 +40,7 @@ UNKNOWN = "und"
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", where: Column | None = None) -> dict[str, bytes]:
     """Dictionary content by language, most frequent first, from rows with a label and a text (and ``where``, if given).
 
-    Choosing the rows reads only keys and labels, and each partition passes on PER_LANGUAGE rows a language at most.
+    Choosing the rows reads only keys and labels; each partition passes on PER_LANGUAGE keys, and PIECES pieces, a language.
     """
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     if where is not None:
@@ -45,12 +49,17 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     ids = [r[0] for r in rows.select(F.col(lang), F.col(key)).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= PER_LANGUAGE).select(key).collect()]
     if not ids:
         return {}
-    chosen = rows.where(F.col(key).isin(sorted(set(ids)))).select(F.col(lang).alias("lang"), F.col(key).cast("string").alias("key"), F.substring(text, 1, SAMPLE_CHARS).alias("text")).collect()
+    chosen = rows.where(F.col(key).isin(sorted(set(ids)))).select(F.col(lang).alias("lang"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    last = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / PIECE).cast("int")
+    cut = chosen.withColumn("i", F.explode(F.sequence(F.lit(0), last))).select("lang", "key", "i", F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("piece"))
+    # Repeated rows of a key give the same piece more than once; which rows share a place here makes no difference.
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("key", "i"), "key", "i", "piece")
+    found = cut.withColumn("rn", F.row_number().over(by_hash)).where(F.col("rn") <= PIECES).select("lang", "rn", "piece").collect()
     out: dict[str, bytes] = {}
-    for row in sorted(chosen, key=lambda r: (r["lang"], r["key"], r["text"])):
-        out[row["lang"]] = out.get(row["lang"], b"") + letters(row["text"]) + b" "
+    for row in sorted(found):
+        out[row["lang"]] = out.get(row["lang"], b"") + letters(row["piece"]) + b" "
     count = dict(rows.groupBy(lang).count().collect())
-    return {k: out[k][-DICTIONARY_BYTES:] for k in sorted(out, key=lambda k: (-count[k], k))}
+    return {k: out[k] for k in sorted(out, key=lambda k: (-count[k], k))}
 
 
 @cache
@@ -60,9 +69,20 @@ def _others():
     return regex.compile(r"[^\p{L}\p{M}']+").sub, regex.compile(r"\p{L}").search
 
 
+@cache
+def _latin() -> bytes:
+    """Of each character below U+0100 itself, if letters() keeps it, or a space."""
+    return bytes(c if _others()[1](chr(c)) or c == ord("'") else 32 for c in range(256))
+
+
 def letters(text: str) -> bytes:
     """The text's words in lower case, without digits and symbols."""
-    return _others()[0](" ", text.lower()).strip().encode()
+    text = text.lower()
+    try:
+        data = text.encode("latin-1").translate(_latin())
+    except UnicodeEncodeError:
+        return _others()[0](" ", text).strip().encode()
+    return b" ".join(filter(None, data.split(b" "))).decode("latin-1").encode()
 
 
 class Classifier:
@@ -70,6 +90,7 @@ class Classifier:
         import zstandard
 
         self.langs = list(content)
+        self.memo: dict[tuple[bytes, float], tuple[str, float, int, float, float]] = {}
         self.coders = []
         for lang in self.langs:
             dictionary = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -84,7 +105,15 @@ class Classifier:
         """Language, score, margin in bytes, margin as a share of the smallest size, share of bytes in blocks of other languages."""
         if not self.langs or not text or not _others()[1](text):
             return UNKNOWN, 0.0, 0, 0.0, 0.0
-        data = letters(text)
+        # Copies of a text may be a large part of the input.
+        name = (hashlib.blake2b(text.encode(), digest_size=16).digest(), least_share)
+        if (found := self.memo.get(name)) is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            found = self.memo[name] = self._judge(letters(text), least_share)
+        return found
+
+    def _judge(self, data: bytes, least_share: float) -> tuple[str, float, int, float, float]:
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         each = np.array([[len(c.compress(b)) for b in blocks] for c in self.coders], float)
         sizes = each.sum(axis=1)
@@ -100,7 +129,7 @@ class Classifier:
 def identify(df: DataFrame, content: dict[str, bytes], least_margin: int = 1, text: str = "text", least_share: float = LEAST_SHARE, most_foreign: float = MOST_FOREIGN) -> DataFrame:
     """df with lang_pred (string), score (double) and accepted (boolean) added, which must not be names of its columns.
 
-    content: what learn() returns, DICTIONARY_BYTES a language at most. No shuffle.
+    content: what learn() returns, PIECE * PIECES characters a language at most. No shuffle.
     """
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
