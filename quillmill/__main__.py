@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ def parser() -> argparse.ArgumentParser:
     chunk.add_argument("path")
     chunk.add_argument("out")
     chunk.add_argument("--chunker", default="semantic", choices=["semantic", "sentence", "sliding"])
+    chunk.add_argument("--chunk-size", type=int)
+    chunk.add_argument("--overlap", type=int, help="words that sliding chunks share")
+    chunk.add_argument("--clean", action="store_true", help="clean the texts first; chunks then carry their quality")
     index = verbs.add_parser("index", help="chunk lines into the index")
     index.add_argument("path")
     search = verbs.add_parser("search", help="the best chunks for a query")
@@ -54,7 +58,11 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         bad = done.where("NOT ok").count()
         return int(done.isEmpty() or args.fail_on_low_quality and bad > 0)
     if args.verb == "chunk":
-        lines = engine.chunk_lines(files.read_text_dir(spark, args.path), chunker=args.chunker, settings=settings)
+        given = {"CHUNK_SIZE": args.chunk_size, "CHUNK_OVERLAP": args.overlap}
+        settings = replace(settings, **{k: v for k, v in given.items() if v is not None})
+        docs = files.read_text_dir(spark, args.path)
+        docs, text = (engine.clean_texts(docs), "clean_text") if args.clean else (docs, "text")
+        lines = engine.chunk_lines(docs, text=text, chunker=args.chunker, settings=settings)
         files.write_lines(lines, F.col("line"), args.out)
         return 0
     if args.verb == "index":

@@ -36,13 +36,22 @@ def clean_texts(docs: DataFrame, key: str = "source_path", text: str = "text") -
 
 
 def chunk_lines(docs: DataFrame, key: str = "source_path", text: str = "text", chunker: str = "semantic", settings: Settings | None = None) -> DataFrame:
-    """(line) a JSON line for each chunk of (key, text)."""
+    """(line) a JSON line for each chunk of (key, text).
+
+    Where docs come from clean(), their quality and number of pages go into every chunk's metadata; otherwise these are 0.0,
+    an empty level and 0.
+    """
     settings = settings or Settings.load()
     if chunker not in C.CHUNKERS:
         raise ValidationError(f"unknown chunker {chunker!r}")
     options = {"size": settings.CHUNK_SIZE} | ({"overlap": settings.CHUNK_OVERLAP} if chunker == "sliding" else {})
-    chunks = C.chunk(docs.select(F.col(key).alias("source_path"), F.col(text).alias("text"), F.length(text).alias("chars")), chunker=chunker, **options)
-    full = C.with_metadata(chunks, "source_path", F.col("chars"), F.lit(0), F.lit(0.0), F.lit(""))
+    judged, paged = "quality" in docs.columns, "pages_processed" in docs.columns
+    score = F.coalesce(F.col("quality.overall_score"), F.lit(0.0)) if judged else F.lit(0.0)
+    level = F.coalesce(F.col("quality.quality_level"), F.lit("")) if judged else F.lit("")
+    n_pages = F.coalesce(F.col("pages_processed"), F.lit(0)).cast("int") if paged else F.lit(0)
+    rows = docs.select(F.col(key).alias("source_path"), F.col(text).alias("text"), F.length(text).alias("chars"), n_pages.alias("pages"), score.alias("score"), level.alias("level"))
+    chunks = C.chunk(rows, chunker=chunker, **options)
+    full = C.with_metadata(chunks, "source_path", F.col("chars"), F.col("pages"), F.col("score"), F.col("level"))
     return full.select(C.to_json_line().alias("line"))
 
 

@@ -29,7 +29,12 @@ def test_clean_chunk_index_and_search(spark, tmp_path):
     assert stats.success and stats.stored == stats.read == collection.count() > 4
     again = engine.index_directory(spark, str(tmp_path / "lines"), collection, provider, "*.txt")
     assert again.stored == stats.stored == collection.count()
+    # What cleaning found out about a document is in its chunks, so that searches can ask for it.
+    score = {r["source_path"].rsplit("/")[-1]: round(r["score"], 4) for r in cleaned.select("source_path", F.col("quality.overall_score").alias("score")).collect()}
+    stored = collection.read().select("source_file", "quality_score", "quality_level").distinct().collect()
+    assert {r["source_file"].rsplit("/")[-1]: round(r["quality_score"], 4) for r in stored} == score and all(r["quality_level"] for r in stored)
     text = collection.read().orderBy("chunk_id").first()["text"]
+    assert engine.retrieve(collection, text, provider, threshold=0.9, where=search.RetrievalFilter(min_quality=0.1).where()).count() == 1
     best = engine.retrieve(collection, text, provider, threshold=0.9).collect()
     assert best[0]["text"] == text and best[0]["score"] == 1.0
     assert engine.retrieve(collection, " ", provider).count() == 0
@@ -66,5 +71,12 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main(["cost", "--model", "gpt-4", "--input-tokens", "100", "--output-tokens", "50"]) == 0
     assert "$0.006000 total" in capsys.readouterr().out
     assert main(["cost", "--list-models"]) == 0
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one two three four five six seven eight nine ten. " * 12)
+    count = {}
+    for size in (20, 60):
+        assert main(["chunk", str(tmp_path / "in"), str(tmp_path / f"out{size}"), "--chunker", "sliding", "--chunk-size", str(size), "--overlap", "5", "--clean"]) == 0
+        count[size] = spark.read.text(str(tmp_path / f"out{size}")).count()
+    assert count[20] > count[60] > 0
     monkeypatch.setenv("INDEX_DIR", str(tmp_path / "index"))
     assert main(["index", str(tmp_path / "missing")]) == 1
