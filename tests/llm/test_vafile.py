@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.llm import oracles, queries, vafile
@@ -36,15 +37,46 @@ def test_query_equals_its_sql(spark, sf_dir, duck):
     same_rows(queries.op4_exact_top_k(spark, sf_dir), duck, oracles.TOP_K)
 
 
-def test_search_reads_few_exact_vectors_and_is_exact():
+@pytest.mark.parametrize("width", [1, 5, 40])
+def test_bounds_hold_for_every_vector_in_the_cells(width):
+    rng = np.random.default_rng(width)
+    cells, low = rng.integers(0, 256, (200, 16)), rng.integers(-9000, 9000, 200)
+    inside = low[:, None] + cells * width + rng.integers(0, width, cells.shape)
+    query = rng.integers(-300, 300, (7, 16))
+    least, most = vafile.bounds(query.astype(float), low.astype(float), np.full(200, float(width)), cells.astype(float))
+    score = query @ inside.T
+    assert (least <= score).all() and (score <= most).all()
+
+
+def test_wide_cells_still_give_exact_results(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    exact = rng.integers(-60, 60, (3000, 32))
-    queries_ = rng.integers(-60, 60, (5, 32))
-    got = vafile.search(np.arange(3000), exact, np.arange(9000, 9005), queries_, 5)
-    scores = queries_ @ exact.T
-    for i in range(5):
-        order = np.lexsort((np.arange(3000), -scores[i]))[:5]
-        assert [(v, s) for q, v, s in got if q == 9000 + i] == [(int(j), int(scores[i, j])) for j in order]
+    rows = [(i, [float(x) for x in 40 * rng.standard_normal(16)], 0) for i in range(600)]  # a component's cells are wider than 1
+    monkeypatch.setattr(vafile, "VECTORS", 150)  # several tiles
+    monkeypatch.setattr(vafile, "QUERIES", 5)
+    got = {tuple(r) for r in vafile.top_k(spark.createDataFrame(rows, ROW), F.col("vec_id") % 50 == 0).collect()}
+    assert got == {t for t in brute([(i, list(np.float32(v)), 0) for i, v, _ in rows], 5)}
+
+
+def test_approximations_hold_their_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i, [int(x) for x in rng.integers(-(10**e), 10**e, 9)]) for i, e in enumerate([1, 2, 3, 5, 9, 15])]
+    frame = spark.createDataFrame(rows, "row long, id long, v array<long>")
+    for r in vafile.approximate(frame).collect():
+        for x, cell in zip(rows[r["row"]][2], r["cells"], strict=True):
+            floor = r["low"] + (cell + 128) * r["width"]
+            assert floor <= x < floor + r["width"]
+
+
+def test_a_vector_that_most_rows_share_is_approximated_for_few_of_them(spark):
+    rows = [(i, [0.5, 0.25] if i % 3 else [0.01 * i, -0.5], 0) for i in range(900)]
+    got = {tuple(r) for r in vafile.top_k(spark.createDataFrame(rows, ROW), F.col("vec_id") % 50 == 0).collect()}
+    assert got == brute(rows, 5)
+
+
+def test_repeated_rows_are_candidates_once_each(spark):
+    rows = [(0, [1.0, 0.0], 0), (1, [3.0, 0.0], 0), (1, [3.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 1.0], 0)]
+    got = [tuple(r) for r in vafile.top_k(spark.createDataFrame(rows, ROW), F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 3 * 65536), (0, 2, 1, 3 * 65536), (0, 3, 2, 2 * 65536)]
 
 
 def test_large_components(spark):
