@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import argparse
 import sys
-from dataclasses import replace
+from dataclasses import fields, replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quillmill import engine
+from quillmill.functions import quality as Q
+from quillmill.functions import text as T
 from quillmill.functions.embedding import HashProvider
 from quillmill.operators import costs
 from quillmill.operators.index import Collection
-from quillmill.settings import QuillmillError, Settings
+from quillmill.operators.search import RetrievalFilter
+from quillmill.runtime import materialize
+from quillmill.settings import QuillmillError, Settings, setup_logging
 from quillmill.sources import files
 
 
@@ -24,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     clean.add_argument("path")
     clean.add_argument("out")
     clean.add_argument("--pdf", action="store_true")
+    clean.add_argument("--text-files", action="store_true", help="texts as a folder with a text file for each document instead of Parquet")
     clean.add_argument("--fail-on-low-quality", action="store_true")
     chunk = verbs.add_parser("chunk", help="text files to chunk lines")
     chunk.add_argument("path")
@@ -39,6 +44,11 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("--top-k", type=int)
     search.add_argument("--threshold", type=float)
     search.add_argument("--per-document", type=int, default=0)
+    for name in ("document-id", "source-file", "section", "chunker-name"):
+        search.add_argument(f"--{name}")
+    for name in ("page-number", "min-page", "max-page"):
+        search.add_argument(f"--{name}", type=int)
+    search.add_argument("--min-quality", type=float)
     cost = verbs.add_parser("cost", help="what tokens cost, or the price list")
     cost.add_argument("--model", default="gpt-4")
     cost.add_argument("--input-tokens", type=int, default=0)
@@ -49,14 +59,20 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
     settings = Settings.load()
+    log = setup_logging(settings.LOG_LEVEL)
     provider = HashProvider(settings.EMBEDDING_DIMENSIONS)
     collection = Collection(spark, settings.INDEX_DIR, engine.RECORD)
     if args.verb == "clean":
         done = engine.clean(files.read_pdf_pages(spark, args.path).where("error is null")) if args.pdf else engine.clean_texts(files.read_text_dir(spark, args.path))
-        done.select("source_path", "clean_text").write.mode("overwrite").parquet(f"{args.out}/texts")
-        done.select("source_path", "quality").write.mode("overwrite").json(f"{args.out}/reports")
-        bad = done.where("NOT ok").count()
-        return int(done.isEmpty() or args.fail_on_low_quality and bad > 0)
+        done = materialize(done)
+        if args.text_files:
+            files.write_texts(done.withColumn("name", T.stem(F.col("source_path"))), "name", "clean_text", f"{args.out}/texts")
+        else:
+            done.select("source_path", "clean_text").write.mode("overwrite").parquet(f"{args.out}/texts")
+        files.write_lines(done, Q.report_json(F.col("source_path"), F.col("quality")), f"{args.out}/reports")
+        n, bad = done.agg(F.count("*"), F.count_if(~F.col("ok"))).first()
+        log.info("%d documents, %d of them of low quality or empty", n, bad)
+        return int(not n or args.fail_on_low_quality and bad > 0)
     if args.verb == "chunk":
         given = {"CHUNK_SIZE": args.chunk_size, "CHUNK_OVERLAP": args.overlap}
         settings = replace(settings, **{k: v for k, v in given.items() if v is not None})
@@ -70,7 +86,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         print(stats)
         return int(not stats.success)
     if args.verb == "search":
-        engine.retrieve(collection, args.query, provider, args.top_k, args.threshold, per_document=args.per_document, settings=settings).show(truncate=80)
+        where = RetrievalFilter(**{f.name: getattr(args, f.name) for f in fields(RetrievalFilter) if getattr(args, f.name, None) is not None})
+        log.info("%s", where.summary())
+        engine.retrieve(collection, args.query, provider, args.top_k, args.threshold, where, args.per_document, settings).show(truncate=80)
         return 0
     prices = costs.price_table(spark)
     if args.list_models:

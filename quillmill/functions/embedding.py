@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructType
 
 from quillmill.runtime import prepare
+from quillmill.settings import PermanentEmbeddingError
 
 
 class EmbeddingProvider(ABC):
@@ -43,7 +44,7 @@ class HashProvider(EmbeddingProvider):
 def embed(df: DataFrame, provider: EmbeddingProvider, text: str = "text", batch: int = 50, attempts: int = 3) -> DataFrame:
     """df with embedding, token_count (the batch's tokens over its texts, or -1) and error added.
 
-    A batch that fails ``attempts`` times gives null vectors and the error's text instead of failing the job. Vectors stay in
+    A batch that fails ``attempts`` times, or once with PermanentEmbeddingError, gives null vectors and the error's text instead of failing the job. Vectors stay in
     the row of their text, so nothing is joined by position.
     """
     prepare(df.sparkSession)
@@ -63,6 +64,9 @@ def embed(df: DataFrame, provider: EmbeddingProvider, text: str = "text", batch:
                             raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
                         error = None
                         break
+                    except PermanentEmbeddingError as e:
+                        vectors, tokens, error = [None] * len(texts), -1, str(e)
+                        break
                     except Exception as e:  # noqa: BLE001  the error is part of the result
                         vectors, tokens, error = [None] * len(texts), -1, str(e)
                         if attempt + 1 < attempts:

@@ -60,3 +60,30 @@ def gate(clean_text: Column, level: Column, allow_low: bool = False) -> Column:
     """Whether a cleaned document may go on: it has text and its level isn't low or reject."""
     barred = ["reject"] if allow_low else ["low", "reject"]
     return clean_text.isNotNull() & (clean_text != "") & ~level.isin(barred)
+
+
+#: What is said of a level.
+WARNINGS = {
+    "medium": "Medium quality document - review before production use",
+    "low": "Low quality document - may produce poor RAG results",
+    "reject": "Document quality too low - consider excluding from index",
+}
+
+
+def warnings(level: Column) -> Column:
+    """Array of what is to be said of this level: nothing of a high one."""
+    said = reduce(lambda other, item: F.when(level == item[0], F.lit(item[1])).otherwise(other), WARNINGS.items(), F.lit(None).cast("string"))
+    return F.array_compact(F.array(said))
+
+
+def report_json(source: Column, quality: Column) -> Column:
+    """A line of JSON for a document's report() with its warnings and the checks that it failed."""
+    bad = F.transform(failed(quality["checks"]), lambda c: F.struct(c["name"].alias("name"), c["value"].alias("value"), c["threshold"].alias("threshold")))
+    same = [quality[c].alias(c) for c in ("quality_level", "overall_score", "word_count", "passed")]
+    return F.to_json(F.struct(source.alias("source"), *same, warnings(quality["quality_level"]).alias("warnings"), bad.alias("failed_checks")))
+
+
+def summary(quality: Column) -> Column:
+    """A readable line for a report()."""
+    status = F.when(quality["passed"], "PASS").otherwise("FAIL")
+    return F.format_string("[%s] Quality=%s (%.2f) | Words=%d | Failed checks: %d", status, quality["quality_level"], quality["overall_score"], quality["word_count"], F.size(failed(quality["checks"])))

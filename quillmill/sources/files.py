@@ -95,5 +95,11 @@ def write_lines(df: DataFrame, line: Column, path: str, single: bool = False) ->
 
 
 def write_texts(df: DataFrame, name: str, text: str, path: str) -> None:
-    """Clean texts below path, in a folder for each name."""
-    df.select(F.col(name), F.col(text).alias("value")).write.mode("overwrite").partitionBy(name).text(path, lineSep="\0")
+    """Clean texts below path, in a folder for each name. Rows of a name are brought together, so that it has one file."""
+    df.select(F.col(name), F.col(text).alias("value")).repartition(name).write.mode("overwrite").partitionBy(name).text(path, lineSep="\0")
+
+
+def read_texts(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """(name, text) as write_texts() left them; a name is a string, whatever it looks like."""
+    found = spark.read.schema(f"value string, `{name}` string").text(path, lineSep="\0")
+    return found.select(name, F.col("value").alias("text"))

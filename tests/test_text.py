@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
 import uuid
@@ -66,3 +67,12 @@ def test_null_texts(spark):
     assert column(spark, [None], T.normalize(c), T.count_words(c), T.is_blank(c), T.sentences(c))[0] == (None, 0, True, None)
     report = column(spark, [None], Q.report(c))[0][0]
     assert (report["word_count"], report["quality_level"], report["passed"]) == (0, "low", True)
+
+
+def test_report_line_and_summary(spark):
+    c = F.col("t")
+    line, said = column(spark, ["short text"], Q.report_json(F.lit("a.pdf"), Q.report(c)), Q.summary(Q.report(c)))[0]
+    report = json.loads(line)
+    assert report["source"] == "a.pdf" and report["warnings"] == ([Q.WARNINGS[report["quality_level"]]] if report["quality_level"] != "high" else [])
+    assert [x["name"] for x in report["failed_checks"]] == ["word_count"] and report["failed_checks"][0]["threshold"] == 50
+    assert said == f"[PASS] Quality={report['quality_level']} ({report['overall_score']:.2f}) | Words=2 | Failed checks: 1"
