@@ -9,8 +9,8 @@ held at a bound, so that few steps are needed. A document's
 rate is therefore a function of its posteriors and of the steps so far, which are as many numbers as domains and steps: each
 step is one aggregate over the documents, and no rates are stored in between.
 
-The training sample is bounded: per domain the PER_DOMAIN labelled documents with the smallest hash of their key; each task
-passes on as many a domain at most (Spark pushes such a limit below the shuffle up to 1000 rows). Counts by domain and bucket
+The training sample is bounded: per domain the PER_DOMAIN labelled documents with the smallest hash of their key, which are
+ranked among those below a bound on the hash that the domain's size gives. Counts by domain and bucket
 (BUCKETS at most) are the only table that is broadcast. All documents, whole texts, are scored.
 """
 
@@ -50,12 +50,25 @@ def domain_of_labels(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.when(flag("toxic"), "toxic").when(flag("quality"), "high").otherwise("low").alias("domain"))
 
 
+def sample(labelled: DataFrame, sizes: dict[str, int], domains: list[str]) -> DataFrame:
+    """(_id, domain): of each domain the PER_DOMAIN keys with the smallest hash. sizes are the domains' rows; keys are distinct.
+
+    Hashes are uniform, so about twice the rows wanted lie below a bound that the domain's size gives; only these meet in the
+    window, however many rows a domain has.
+    """
+    share = {d: min(1.0, 2 * PER_DOMAIN / max(sizes.get(d, 0), 1)) for d in domains}
+    below = [(F.col("domain") == d) & (F.xxhash64("doc_id") <= F.lit(min(2**63 - 1, int(x * 2**64) - 2**63))) for d, x in share.items()]
+    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = labelled.where(reduce(operator.or_, below, F.lit(False))).withColumn("_rn", F.row_number().over(order))
+    return ranked.where(F.col("_rn") <= PER_DOMAIN).select(F.col("doc_id").alias("_id"), "domain")
+
+
 def learn(df: DataFrame, labelled: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[float]]:
     """(bucket, w: log-likelihood of each domain) and the log priors; domains without examples get a small prior."""
-    chosen = labelled.where(F.col("domain").isin(domains)).withColumn("_rn", F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_rn") <= PER_DOMAIN).select(F.col("doc_id").alias("_id"), "domain")
+    priors = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    chosen = sample(labelled, priors, domains)
     texts = df.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     rows = materialize(texts.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("domain", "text"))
-    priors = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     seen = [priors.get(d, 0) + 1 for d in domains]
     counts = materialize(rows.select("domain", F.explode(words("text")).alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]))
     totals = counts.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(len(domains))]).first()

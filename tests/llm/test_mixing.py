@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.llm import mixing, queries
 
@@ -74,3 +75,34 @@ def test_copies_follow_the_rate(spark, most):
     got = mixing.mix(docs, labels, TARGETS, most=most).collect()
     assert all(int(r["rate"]) <= r["copies"] <= int(r["rate"]) + 1 for r in got)
     assert abs(sum(r["copies"] for r in got) - sum(r["rate"] for r in got)) < 4 * len(got) ** 0.5
+
+
+def test_the_sample_is_the_smallest_hashes_of_each_domain(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PER_DOMAIN", 60)
+    labels = spark.createDataFrame([(i, "high" if i % 10 else "low") for i in range(5000)] + [(9000, "toxic")], "doc_id long, domain string")
+    hashed: dict = {}
+    for r in labels.withColumn("h", F.xxhash64("doc_id")).orderBy("h").collect():
+        hashed.setdefault(r["domain"], []).append(r["doc_id"])
+    got: dict = {}
+    for r in mixing.sample(labels, {d: len(x) for d, x in hashed.items()}, sorted(hashed)).collect():
+        got.setdefault(r["domain"], set()).add(r["_id"])
+    assert got == {d: set(x[:60]) for d, x in hashed.items()}
+
+
+@pytest.mark.parametrize("more", [0.6, 1.0, 1.5])
+def test_squared_error_is_that_of_bounded_least_squares(spark, more):
+    """Against accelerated projected gradient steps on all rates in numpy, for totals below, at and beyond what there is."""
+    docs, labels, _ = corpus(spark, 300)
+    members = mixing.mix(docs, labels, TARGETS).select("doc_id", "tokens", F.col("domain_p").alias("p")).cache()
+    rows = members.collect()
+    a = np.array([np.array(r["p"]) * r["tokens"] for r in rows]).T
+    tokens = more * min(a.sum(axis=1) / np.array([0.6, 0.3, 0.1]))
+    aim = tokens * np.array([0.6, 0.3, 0.1])
+    _, totals, _ = mixing.fit(members, [0.6, 0.3, 0.1], tokens)
+    rate = ahead = np.full(a.shape[1], 0.5)
+    step = 1 / np.linalg.norm(a @ a.T, 2)
+    for i in range(20_000):
+        new = np.clip(ahead - step * a.T @ (a @ ahead - aim), 0, 1)
+        ahead, rate = new + i / (i + 3) * (new - rate), new
+    least = np.linalg.norm(a @ rate - aim)
+    assert np.linalg.norm(np.subtract(totals, aim)) <= least + 1e-3 * tokens
