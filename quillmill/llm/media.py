@@ -1,11 +1,13 @@
 """Media columns: signature sniffing (operator 3).
 
 An Aho-Corasick automaton finds every magic number in the bytes; a validator of each format then follows the structure from
-there (chunk lengths, checksums, offsets) and says how long the file is, or that it isn't one. Sniffing a column corrects
-declared types by what is confirmed at the beginning; carving returns every confirmed file inside, outermost first.
+there (chunk lengths, checksums, offsets) and says how long the file is, or that it isn't one. ZIP and PDF files, whose
+structure is told at their end, are confirmed from there. Sniffing a column corrects declared types by what is confirmed at
+the beginning; carving returns every confirmed file inside in the order of offsets, of equal ones the longest first; files
+within files are listed too.
 
-Formats: PNG, WAV (8-bit PCM), BMP (8-bit), PGM (binary), GIF, ZIP and GZIP. The first four can also be written and read here,
-without loss, as 8-bit samples. Null or empty bytes have no type and nothing to carve.
+Formats: PNG, WAV, BMP, PGM (binary), GIF, JPEG, WebP, GZIP, ZIP and PDF. Of the first four, 8-bit samples can also be written
+and read here, without loss. Null or empty bytes have no type and nothing to carve.
 """
 
 from __future__ import annotations
@@ -23,7 +25,19 @@ from pyspark.sql import DataFrame
 from quillmill.runtime import prepare
 
 WIDTH = 576
-MAGIC = {b"\x89PNG\r\n\x1a\n": "image/png", b"RIFF": "audio/wav", b"BM": "image/bmp", b"P5": "image/x-portable-graymap", b"GIF87a": "image/gif", b"GIF89a": "image/gif", b"PK\x03\x04": "application/zip", b"\x1f\x8b\x08": "application/gzip"}
+MAGIC = {
+    b"\x89PNG\r\n\x1a\n": ("image/png",),
+    b"RIFF": ("audio/wav", "image/webp"),
+    b"BM": ("image/bmp",),
+    b"P5": ("image/x-portable-graymap",),
+    b"GIF87a": ("image/gif",),
+    b"GIF89a": ("image/gif",),
+    b"\xff\xd8\xff": ("image/jpeg",),
+    b"\x1f\x8b\x08": ("application/gzip",),
+    b"%PDF-": (),  # no kinds: confirmed from the end
+    b"%%EOF": (),
+    b"PK\x05\x06": (),
+}
 
 
 @cache
@@ -31,8 +45,8 @@ def _automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for magic, kind in MAGIC.items():
-        found.add_word(magic.decode("latin-1"), (len(magic), kind))
+    for magic, kinds in MAGIC.items():
+        found.add_word(magic.decode("latin-1"), (magic, kinds))
     found.make_automaton()
     return found
 
@@ -112,28 +126,89 @@ def _pgm_head(data: bytes, at: int) -> tuple[int, int]:
 
 
 def _png(data: bytes, at: int) -> int:
-    begin, at, kinds = at, at + 8, []
+    begin, at, kinds, packed = at, at + 8, [], []
     while at + 12 <= len(data):
         n, kind = struct.unpack_from(">I4s", data, at)
+        if not kinds and (kind, n) != (b"IHDR", 13):
+            return 0
         if at + 12 + n > len(data) or struct.unpack_from(">I", data, at + 8 + n)[0] != zlib.crc32(data[at + 4 : at + 8 + n]):
             return 0
         kinds.append(kind)
+        if kind == b"IDAT":
+            packed.append((at + 8, n))
         at += 12 + n
         if kind == b"IEND":
-            return at - begin if kinds[0] == b"IHDR" and b"IDAT" in kinds else 0
+            return at - begin if packed and _inflates(data, packed, struct.unpack_from(">IIBBBBB", data, begin + 16)) else 0
     return 0
 
 
-def _wav(data: bytes, at: int) -> int:
-    if len(data) < at + 44 or data[at + 8 : at + 12] != b"WAVE":
-        return 0
+def _inflates(data: bytes, packed: list[tuple[int, int]], head: tuple[int, ...]) -> bool:
+    """Whether the parts of a PNG's stream give as many bytes as its head asks for; of interlaced images, whether it ends."""
+    width, height, depth, colour, _, _, interlaced = head
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if not channels or depth not in (1, 2, 4, 8, 16) or not width or not height:
+        return False
+    wanted, n, stream = ((width * channels * depth + 7) // 8 + 1) * height, 0, zlib.decompressobj()
+    try:
+        for at, size in packed:
+            left = data[at : at + size]
+            while left and not stream.eof and (n <= wanted or interlaced):
+                n += len(stream.decompress(left, 1 << 20))
+                left = stream.unconsumed_tail
+        while not stream.eof and (more := stream.decompress(b"", 1 << 20)) and (n <= wanted or interlaced):
+            n += len(more)
+    except zlib.error:
+        return False
+    return stream.eof and (n == wanted or bool(interlaced))
+
+
+def _riff(data: bytes, at: int, form: bytes) -> tuple[int, list[bytes]]:
+    """The length of a RIFF file of this form and the kinds of its chunks; 0 if they don't fill it."""
+    if len(data) < at + 12 or data[at + 8 : at + 12] != form:
+        return 0, []
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
     begin, at, kinds = at, at + 12, []
     while at + 8 <= end <= len(data):
         kind, n = struct.unpack_from("<4sI", data, at)
         kinds.append(kind)
         at += 8 + n + n % 2
-    return end - begin if at == end and b"fmt " in kinds and b"data" in kinds else 0
+    return (end - begin if at == end else 0), kinds
+
+
+def _wav(data: bytes, at: int) -> int:
+    size, kinds = _riff(data, at, b"WAVE")
+    return size if b"fmt " in kinds and b"data" in kinds else 0
+
+
+def _webp(data: bytes, at: int) -> int:
+    size, kinds = _riff(data, at, b"WEBP")
+    return size if kinds and kinds[0] in (b"VP8 ", b"VP8L", b"VP8X") else 0
+
+
+def _jpeg(data: bytes, at: int) -> int:
+    import re
+
+    begin, at, frames = at, at + 2, 0
+    while at + 4 <= len(data) or data[at : at + 2] == b"\xff\xd9":
+        mark = data[at + 1]
+        if data[at] != 0xFF or mark == 0xD8:
+            return 0
+        if mark == 0xD9:
+            return at + 2 - begin if frames else 0
+        if mark == 0xFF:  # fill
+            at += 1
+            continue
+        n = struct.unpack_from(">H", data, at + 2)[0]
+        if n < 2:
+            return 0
+        frames += 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
+        at += 2 + n
+        if mark == 0xDA:  # a scan ends at the next mark that is neither a stuffed byte nor a restart
+            stop = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.S).search(data, at) if frames else None
+            if not stop:
+                return 0
+            at = stop.start()
+    return 0
 
 
 def _bmp(data: bytes, at: int) -> int:
@@ -174,13 +249,34 @@ def _gif(data: bytes, at: int) -> int:
     return 0
 
 
-def _zip(data: bytes, at: int) -> int:
-    end = data.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
+def _zip(data: bytes, end: int) -> tuple[int, int]:
+    """Where the ZIP file begins and ends whose end record is at ``end``: its directory leads from one to the other."""
+    if end + 22 > len(data):
+        return 0, 0
+    entries, size, start, note = struct.unpack_from("<HIIH", data, end + 10)
+    begin, last = end - size - start, end + 22 + note
+    if begin < 0 or last > len(data) or not entries:
+        return 0, 0
+    at = end - size
+    for _ in range(entries):
+        if at + 46 > end or data[at : at + 4] != b"PK\x01\x02":
+            return 0, 0
+        name, extra, comment = struct.unpack_from("<HHH", data, at + 28)
+        local = begin + struct.unpack_from("<I", data, at + 42)[0]
+        if data[local : local + 4] != b"PK\x03\x04":
+            return 0, 0
+        at += 46 + name + extra + comment
+    return (begin, last) if at == end and data[begin : begin + 4] == b"PK\x03\x04" else (0, 0)
+
+
+def _pdf(data: bytes, begin: int, mark: int) -> int:
+    """The length of the PDF file that begins and has an end mark there, if the mark leads to a table of references."""
+    import re
+
+    at = re.compile(rb"startxref[ \t\r\n]+(\d{1,12})[ \t\r\n]+$").search(data[max(begin, mark - 64) : mark])
+    if not at or not re.compile(rb"xref|\d{1,10} \d{1,5} obj").match(data, begin + int(at[1]), mark):
         return 0
-    size, start, note = struct.unpack_from("<IIH", data, end + 12)
-    fits = at + start + size == end and (size == 0 or data[at + start : at + start + 4] == b"PK\x01\x02")
-    return end + 22 + note - at if fits and end + 22 + note <= len(data) else 0
+    return re.compile(rb"\r?\n?").match(data, mark + 5).end() - begin
 
 
 def _gzip(data: bytes, at: int) -> int:
@@ -195,23 +291,40 @@ def _gzip(data: bytes, at: int) -> int:
     return min(i, len(data)) - len(stream.unused_data) - at if stream.eof else 0
 
 
-VALIDATORS = {"image/png": _png, "audio/wav": _wav, "image/bmp": _bmp, "image/x-portable-graymap": _pgm, "image/gif": _gif, "application/zip": _zip, "application/gzip": _gzip}
+VALIDATORS = {"image/png": _png, "audio/wav": _wav, "image/webp": _webp, "image/bmp": _bmp, "image/x-portable-graymap": _pgm, "image/gif": _gif, "image/jpeg": _jpeg, "application/gzip": _gzip}
 
 
 def find(data: bytes | None) -> list[tuple[int, int, str]]:
-    """(offset, length, type) of every confirmed file, in order of offset; files within others are listed too."""
-    out = []
-    for last, (n, kind) in _automaton().iter((data or b"").decode("latin-1")):
-        at = last - n + 1
-        if size := VALIDATORS[kind](data, at):
-            out.append((at, size, kind))
-    return sorted(out, key=lambda x: (x[0], -x[1]))
+    """(offset, length, type) of every confirmed file, in order of offset; files within others are listed too.
+
+    A PDF file reaches to the last end mark that leads back into it, as updates are appended; it begins at the nearest head
+    before the mark.
+    """
+    data, longest, pdf = data or b"", {}, None
+    nul = data.rfind(b"\0")
+    for last, (magic, kinds) in _automaton().iter(data.decode("latin-1")):
+        at = last - len(magic) + 1
+        if magic == b"\x1f\x8b\x08" and at + 10 > nul and data[at + 3 : at + 4] > b"\x07":
+            continue  # a name or remark without its end: seen here, as zlib would read all that follows
+        sizes = [(at, VALIDATORS[kind](data, at), kind) for kind in kinds]
+        if magic == b"%PDF-":
+            pdf = at
+        elif magic == b"%%EOF" and pdf is not None:
+            sizes = [(pdf, _pdf(data, pdf, at), "application/pdf")]
+        elif magic == b"PK\x05\x06":
+            begin, end = _zip(data, at)
+            sizes = [(begin, end - begin, "application/zip")]
+        for begin, size, kind in sizes:
+            if size:
+                longest[begin, kind] = max(size, longest.get((begin, kind), 0))
+    return sorted(((at, size, kind) for (at, kind), size in longest.items()), key=lambda x: (x[0], -x[1]))
 
 
 def sniff(df: DataFrame, data: str, declared: str | None = None) -> DataFrame:
-    """df with sniffed (the type confirmed at the first byte over the whole length, else ``declared``, else null), corrected
-    (boolean: it differs from the declared type) and embedded (array of offset, length and type of files found further in)
-    added; these must not be names of its columns. No shuffle."""
+    """df with sniffed (the type of the longest file confirmed at the first byte, else ``declared``, else null), corrected
+    (boolean: it differs from the declared type) and embedded (array of offset, length and type of all files found but one
+    that fills the value) added; these must not be names of its columns. Bytes after a file don't change its type; the file is
+    then in embedded, so that it can be cut out. No shuffle."""
     from pyspark.sql.types import StructType
 
     prepare(df.sparkSession)
@@ -227,10 +340,10 @@ def sniff(df: DataFrame, data: str, declared: str | None = None) -> DataFrame:
             for i, value in enumerate(batch.column(at)):
                 value, before = value.as_py(), batch.column(said)[i].as_py() if said is not None else None
                 found = find(value)
-                own = next((kind for begin, size, kind in found if begin == 0 and size == len(value)), None)
+                own = next((kind for begin, _, kind in found if begin == 0), None)
                 types.append(own or before)
                 fixed.append(own is not None and own != before)
-                within.append([{"offset": b, "length": n, "type": k} for b, n, k in found if not (b == 0 and own and n == len(value))])
+                within.append([{"offset": b, "length": n, "type": k} for b, n, k in found if not (b == 0 and k == own and n == len(value))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(types, pa.string()), pa.array(fixed, pa.bool_()), pa.array(within, inner)], [*names, *new])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL("sniffed string, corrected boolean, embedded array<struct<offset: bigint, length: bigint, type: string>>").fields]))

@@ -55,3 +55,69 @@ def test_digest_of_whole_texts(spark):
         _, stored = media.store(text)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert got[2][1:] == got[7][1:] and got[0][1:] == got[1][1:]
+
+
+def test_trailing_bytes_leave_the_type_corrected(spark):
+    frame = spark.createDataFrame([(1, bytearray(media.write_png(b"\0" * 576) + b"x"), "image/jpeg")], "id int, data binary, declared string")
+    got = media.sniff(frame, "data", "declared").collect()[0]
+    assert (got["sniffed"], got["corrected"]) == ("image/png", True)
+    assert [(e["offset"], e["type"]) for e in got["embedded"]] == [(0, "image/png")]
+
+
+def jpeg() -> bytes:
+    part = lambda mark, body: bytes((0xFF, mark)) + (len(body) + 2).to_bytes(2, "big") + body
+    frame = part(0xC0, b"\x08\0\x10\0\x10\x01\x01\x11\0")
+    return b"\xff\xd8" + part(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + frame + part(0xDA, b"\x01\x01\0\0\x3f\0") + b"ab\xff\0cd\xff\xd0ef" + b"\xff\xd9"
+
+
+def pdf() -> bytes:
+    body = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    first = body + b"xref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF\n" % len(body)
+    return first + b"xref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF\n" % len(first)  # with an update
+
+
+def webp() -> bytes:
+    body = b"WEBPVP8L" + (6).to_bytes(4, "little") + b"\x2f12345"
+    return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
+@pytest.mark.parametrize("make, kind", [(jpeg, "image/jpeg"), (pdf, "application/pdf"), (webp, "image/webp")])
+def test_formats_that_are_only_recognised(make, kind):
+    data = make()
+    assert media.find(data) == [(0, len(data), kind)]
+    assert media.find(b"--" + data + b"--" + data) == [(2, len(data), kind), (4 + len(data), len(data), kind)]
+    assert media.find(data[:-3]) != [(0, len(data) - 3, kind)] or kind == "application/pdf"
+    assert not media.find(data[: len(data) // 2])
+
+
+def test_a_png_whose_samples_are_missing_is_none():
+    data = media.write_png(b"\1" * 1152)
+    short = bytearray(data)
+    short[20:24] = (3).to_bytes(4, "big")  # a row more than there is, with a right checksum
+    short[29:33] = zlib.crc32(bytes(short[12:29])).to_bytes(4, "big")
+    assert media.find(data) and not media.find(bytes(short))
+
+
+def test_a_stored_archive_in_an_archive_is_found_beside_it():
+    def packed(name, content):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, content)
+        return out.getvalue()
+
+    inner = packed("a.txt", "hello")
+    outer = packed("b.zip", inner)
+    assert media.find(b"##" + outer) == [(2, len(outer), "application/zip"), (2 + outer.index(inner), len(inner), "application/zip")]
+
+
+@pytest.mark.parametrize("magic", list(media.MAGIC) + [b"PK\x03\x04", b"%PDF-startxref 0 %%EOF", jpeg()[:-2]])
+def test_repeated_magic_takes_linear_time(magic):
+    import time
+
+    def seconds(n):
+        begin = time.process_time()
+        media.find(magic * n)
+        return time.process_time() - begin
+
+    seconds(10)
+    assert seconds(80_000) < 30 * max(seconds(8_000), 0.01)
