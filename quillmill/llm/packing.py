@@ -19,7 +19,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from quillmill.runtime import materialize, prepare, release
 
 GRAIN = 8
-#: Words whose ids a worker remembers before it starts afresh.
-MEMO = 900_000
+#: Words whose ids a worker remembers before it forgets the later half: frequent words come early and stay.
+MEMO = 250_000
 #: The linear program stops when its value is proved to be within this share of the least, or after so many columns;
 #: less than one sequence is never worth a step.
 GAP, COLUMNS = 5e-4, 4000
@@ -78,7 +78,7 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         if len(self.parts) > MEMO:
-            self.parts.clear()
+            self.parts = dict(islice(self.parts.items(), MEMO // 2))
         cut = [_CUT(w) if _PLAIN(w) else None for w in words]
         new = list(set(chain.from_iterable(x for x in cut if x)).difference(self.parts))
         if new:
@@ -94,7 +94,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.memo = dict(islice(self.memo.items(), MEMO // 2))
         found: list[list[str] | None] = []
         for text in texts:
             if not self.by_word or any(map(text.__contains__, self.marks)):

@@ -82,3 +82,13 @@ def test_knapsack_and_solution_hold_the_demand():
         assert sum(p * n for p, n in patterns).tolist() == demand.tolist() if demand.any() else not patterns
         assert all(p @ np.arange(65) <= 64 for p, _ in patterns)
         assert sum(n for _, n in patterns) <= 1.01 * fewest(demand, 64) + 2
+
+
+def test_a_full_memory_of_words_keeps_the_early_ones_and_all_ids(monkeypatch):
+    assert packing.MEMO <= 250_000  # 900,000 took some 210 MB of a worker
+    monkeypatch.setattr(packing, "MEMO", 40)
+    encoder = packing.WordEncoder(PATH)
+    texts = [" ".join(["the", "of", *(f"word{'abcdefghij'[j]}{'abcdefghij'[i % 10]}" for j in range(10))]) + " o'clock" for i in range(30)]
+    for text, want in zip(texts, tokens(texts), strict=True):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want[:-1]
+        assert "the" in encoder.memo and len(encoder.memo) <= 40 + 13 and len(encoder.parts) <= 40 + 13
