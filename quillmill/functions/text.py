@@ -29,7 +29,9 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{W}+|{W}+\z", "")
+    """Only a text that begins or ends with white space goes through the regular expression, which looks at every character."""
+    edge = lambda own, at: F.substring(own, at, 1).rlike(W)
+    return let(c, lambda own: F.when(edge(own, 1) | edge(own, -1), F.regexp_replace(own, rf"\A{W}+|{W}+\z", "")).otherwise(own))
 
 
 def rstrip(c: Column) -> Column:
@@ -38,7 +40,7 @@ def rstrip(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Array of the words between white space."""
-    return F.filter(F.split(c, f"{W}+"), lambda w: w != "")
+    return F.array_remove(F.split(c, f"{W}+"), "")
 
 
 def count_words(c: Column) -> Column:
@@ -165,7 +167,11 @@ def is_page_number(line: Column) -> Column:
 
 
 def is_section_header(paragraph: Column) -> Column:
-    own = strip(paragraph)
+    return let(strip(paragraph), is_header)
+
+
+def is_header(own: Column) -> Column:
+    """is_section_header() of a paragraph that is stripped already."""
     return (own != "") & (F.length(own) <= 120) & own.rlike(SECTION)
 
 

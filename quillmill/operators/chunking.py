@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import text as T
 
 SIZE, OVERLAP, LEAST, MOST = 512, 50, 20, 1024
+_ALL = (1 << 31) - 1
 _RUNS = "array<struct<first:int,last:int>>"
 
 
@@ -28,6 +29,11 @@ def _chunk_of(text: Column, start: Column) -> Column:
     return F.struct(T.strip(text).alias("text"), start.cast("int").alias("char_start"), (start + F.length(text)).cast("int").alias("char_end"), T.count_words(text).alias("word_count"))
 
 
+def _placed_chunk(text: Column, start: Column, words: Column) -> Column:
+    """_chunk() of a text that is stripped and counted already."""
+    return F.struct(text.alias("text"), start.cast("int").alias("char_start"), (start + F.length(text)).cast("int").alias("char_end"), words.cast("int").alias("word_count"))
+
+
 def sliding(text: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
     """Windows of ``size`` words, each beginning size - overlap words after the one before."""
     step = max(1, size - overlap)
@@ -38,19 +44,29 @@ def _windows(text: Column, own: Column, size: int, step: int) -> Column:
     n = F.size(own)
     last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int")
     starts = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    joined = lambda j, length: F.array_join(F.slice(own, j * step + 1, length), " ")
-    windows = F.transform(starts, lambda j: F.struct(F.get(own, j * step).alias("word"), joined(j, size).alias("text"), joined(j, step).alias("moved")))
-    locate = lambda part, at: F.call_function("locate", part, text, at + 1)
+    # Words joined by a space are stripped and counted already.
+    part = lambda j, length: F.slice(own, j * step + 1, length)
+    joined = lambda words: F.array_join(words, " ")
+    windows = F.transform(starts, lambda j: F.struct(F.get(own, j * step).alias("word"), joined(part(j, size)).alias("text"), joined(part(j, step)).alias("moved"), F.least(n - j * step, F.lit(size)).alias("n")))
+    locate = lambda what, text: F.call_function("locate", what, text)
     kind = "array<struct<text:string,char_start:int,char_end:int,word_count:int>>"
 
     def place(acc: Column, w: Column) -> Column:
-        found, moved = locate(w["word"], acc["cursor"]), locate(w["moved"], acc["cursor"])
-        start = F.when(found > 0, found - 1).otherwise(acc["cursor"])
-        # The cursor moves on only past a stretch that the text has word for word.
-        cursor = F.when(moved > 0, moved - 1 + F.length(w["moved"])).otherwise(acc["cursor"])
-        return F.struct(cursor.cast("int").alias("cursor"), F.array_append(acc["out"], _chunk(w["text"], start)).alias("out"))
+        # contains() passes quickly over a text that lacks a stretch, locate() doesn't.
+        rest = acc["rest"]
+        found = F.struct(locate(w["word"], rest).alias("word"), F.when(rest.contains(w["moved"]), locate(w["moved"], rest)).otherwise(0).alias("moved"))
+        return T.let(found, lambda at: placed(acc, w, at))
+
+    def placed(acc: Column, w: Column, at: Column) -> Column:
+        start = F.when(at["word"] > 0, acc["cursor"] + at["word"] - 1).otherwise(acc["cursor"])
+        # The cursor moves on, and what is searched begins later, only past a stretch that the text has word for word.
+        some, end = at["moved"] > 0, at["moved"] - 1 + F.length(w["moved"])
+        cursor = F.when(some, acc["cursor"] + end).otherwise(acc["cursor"]).cast("int")
+        rest = F.when(some, F.substring(acc["rest"], end + 1, F.lit(_ALL))).otherwise(acc["rest"])
+        out = F.array_append(acc["out"], _placed_chunk(w["text"], start, w["n"]))
+        return F.struct(cursor.alias("cursor"), rest.alias("rest"), out.alias("out"))
 
-    return F.aggregate(windows, F.struct(F.lit(0).alias("cursor"), F.array().cast(kind).alias("out")), place, lambda acc: acc["out"])
+    return F.aggregate(windows, F.struct(F.lit(0).alias("cursor"), text.alias("rest"), F.array().cast(kind).alias("out")), place, lambda acc: acc["out"])
 
 
 def pack_runs(counts: Column, size: int, overlap: int) -> Column:
@@ -95,12 +111,24 @@ def _packed(sentences: Column, size: int, overlap: int) -> Column:
 
 def merge_short(paragraphs: Column, shorter_than: int = 20) -> Column:
     """Paragraphs of few words are appended to the one before."""
+    return F.transform(_merged(paragraphs, shorter_than), lambda p: p["text"])
+
+
+def _merged(paragraphs: Column, shorter_than: int | None) -> Column:
+    """Array of struct(text, w): merge_short()'s paragraphs (None: all as they are) and their words, which are counted once."""
+    counted = F.transform(paragraphs, lambda p: F.struct(p.alias("text"), T.count_words(p).alias("w")))
+    if shorter_than is None:
+        return counted
+
+    def group(own: Column, first: Column, last: Column) -> Column:
+        whole = lambda part: F.struct(F.array_join(F.transform(part, lambda p: p["text"]), "\n\n").alias("text"), F.aggregate(part, F.lit(0), lambda a, p: a + p["w"]).alias("w"))
+        return T.let(F.slice(own, first + 1, last - first), whole)
 
-    def step(acc: Column, p: Column) -> Column:
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n\n"), p)))
-        return F.when((F.size(acc) > 0) & (T.count_words(p) < shorter_than), joined).otherwise(F.array_append(acc, p))
+    def groups(own: Column) -> Column:
+        begins = F.array_compact(F.transform(own, lambda p, i: F.when((i == 0) | (p["w"] >= shorter_than), i)))
+        return T.let(begins, lambda begins: F.transform(begins, lambda first, g: group(own, first, F.coalesce(F.get(begins, g + 1), F.size(own)))))
 
-    return F.aggregate(paragraphs, F.array().cast("array<string>"), step)
+    return T.let(counted, groups)
 
 
 def split_large(paragraph: Column, size: int = SIZE) -> Column:
@@ -109,35 +137,37 @@ def split_large(paragraph: Column, size: int = SIZE) -> Column:
 
 
 def paragraph_runs(paragraphs: Column, size: int, most: int, detect_headers: bool = True) -> Column:
-    """Runs (first, last, large) of paragraphs; a paragraph of more than ``most`` words is a run of its own, marked large."""
-    kind = "array<struct<first:int,last:int,large:boolean>>"
-    run = lambda a, b, large: F.struct(a.alias("first"), b.alias("last"), F.lit(large).alias("large"))
-    items = F.transform(paragraphs, lambda p: F.struct(T.count_words(p).alias("w"), (T.is_section_header(p) if detect_headers else F.lit(False)).alias("header")))
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("start"), F.lit(0).alias("words"), F.array().cast(kind).alias("out"))
+    """Runs (first, last, large, base, words) of paragraphs (text, w), which are stripped; one of more than ``most`` words is a run
+    of its own, marked large. base: where a run begins, with one character between two paragraphs."""
+    kind = "array<struct<first:int,last:int,large:boolean,base:int,words:int>>"
+    run = lambda a, b, large, base, words: F.struct(a.alias("first"), b.alias("last"), F.lit(large).alias("large"), base.alias("base"), words.alias("words"))
+    items = F.transform(paragraphs, lambda p: F.struct(p["w"].alias("w"), (F.length(p["text"]) + 1).alias("n"), (T.is_header(p["text"]) if detect_headers else F.lit(False)).alias("header")))
+    state = F.struct(*[F.lit(0).alias(c) for c in ("i", "at", "start", "base", "words")], F.array().cast(kind).alias("out"))
+    own = lambda a: run(a["start"], a["i"] - 1, False, a["base"], a["words"])
 
     def step(a: Column, p: Column) -> Column:
         some, large = a["i"] > a["start"], p["w"] > most
         flush = some & (large | p["header"] | (a["words"] + p["w"] > size))
-        out = F.when(flush, F.array_append(a["out"], run(a["start"], a["i"] - 1, False))).otherwise(a["out"])
-        out = F.when(large, F.array_append(out, run(a["i"], a["i"], True))).otherwise(out)
+        out = F.when(flush, F.array_append(a["out"], own(a))).otherwise(a["out"])
+        out = F.when(large, F.array_append(out, run(a["i"], a["i"], True, a["at"], p["w"]))).otherwise(out)
         start = F.when(large, a["i"] + 1).when(flush, a["i"]).otherwise(a["start"])
+        base = F.when(large, a["at"] + p["n"]).when(flush, a["at"]).otherwise(a["base"])
         words = F.when(large, 0).when(flush, p["w"]).otherwise(a["words"] + p["w"])
-        return F.struct((a["i"] + 1).alias("i"), start.alias("start"), words.alias("words"), out.alias("out"))
+        return F.struct((a["i"] + 1).alias("i"), (a["at"] + p["n"]).alias("at"), start.alias("start"), base.alias("base"), words.alias("words"), out.alias("out"))
 
-    return F.aggregate(items, state, step, lambda a: F.when(a["i"] > a["start"], F.array_append(a["out"], run(a["start"], a["i"] - 1, False))).otherwise(a["out"]))
+    return F.aggregate(items, state, step, lambda a: F.when(a["i"] > a["start"], F.array_append(a["out"], own(a))).otherwise(a["out"]))
 
 
 def semantic(text: Column, size: int = SIZE, most: int = MOST, least: int = LEAST, merge: int | None = 20, detect_headers: bool = True) -> Column:
     """Paragraphs packed greedily, short ones merged first, very long ones cut by sentences; headers begin a chunk."""
-    own = T.paragraphs(text)
-    return T.let(own if merge is None else merge_short(own, merge), lambda own: _numbered(_grouped(own, size, most, detect_headers), least))
+    return T.let(_merged(T.paragraphs(text), merge), lambda own: _numbered(_grouped(own, size, most, detect_headers), least))
 
 
 def _grouped(own: Column, size: int, most: int, detect_headers: bool) -> Column:
     runs = paragraph_runs(own, size, most, detect_headers)
-    base = lambda r: F.aggregate(F.slice(own, F.lit(1), r["first"]), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    whole = lambda r: F.array_join(F.slice(own, r["first"] + 1, r["last"] - r["first"] + 1), "\n\n")
-    return F.flatten(F.transform(runs, lambda r: F.when(r["large"], _placed(split_large(F.get(own, r["first"]), size), base(r))).otherwise(F.array(_chunk(whole(r), base(r))))))
+    whole = lambda r: F.array_join(F.transform(F.slice(own, r["first"] + 1, r["last"] - r["first"] + 1), lambda p: p["text"]), "\n\n")
+    chunks = lambda r: F.when(r["large"], _placed(split_large(F.get(own, r["first"])["text"], size), r["base"])).otherwise(F.array(T.let(whole(r), lambda t: _placed_chunk(t, r["base"], r["words"]))))
+    return F.flatten(F.transform(runs, chunks))
 
 
 CHUNKERS = {"sliding": sliding, "sentence": by_sentence, "semantic": semantic}

@@ -145,3 +145,22 @@ def test_metadata_of_chunks(spark):
 def test_let_binds_inside_lambdas(spark):
     row = spark.sql("SELECT array(1, 2) AS a").select(T.let(F.size("a"), lambda n: F.transform("a", lambda x: x + n)).alias("y")).first()
     assert row["y"] == [3, 4]
+
+
+def seconds(spark, text: str, chunks) -> float:
+    import time
+
+    frame = spark.createDataFrame([(text,)], "text string").select(F.size(chunks(F.col("text"))).alias("n"))
+    began = time.time()
+    assert frame.head()["n"] > 0
+    return time.time() - began
+
+
+def test_a_window_is_searched_for_once(spark):
+    # A search of the text for the window's first word and one for the stretch that the next begins after.
+    assert str(C.sliding(F.col("t"), 60, 15)).count("locate") == 2
+
+
+def test_many_short_paragraphs_are_merged_in_little_time(spark):
+    text = "\n\n".join(f"some words {i}" for i in range(100_000))
+    assert seconds(spark, text, lambda t: C.semantic(t)) < 15
