@@ -24,8 +24,7 @@ RECORD = "chunk_id string, text string, document_id string, chunk_index int, sou
 def clean(pages: DataFrame, key: str = "source_path") -> DataFrame:
     """(key, clean_text, pages_processed, quality struct, ok) from pages (key, page_number, page): headers and footers go,
     the rest is normalized and its wraps repaired. ok: there is text and its level isn't low or reject."""
-    normal = P.filter_headers_footers(pages, key).select(key, "pages_processed", T.normalize(F.col("filtered_text")).alias("_text"))
-    repaired = normal.select(key, "pages_processed", T.repair_wraps(F.col("_text")).alias("clean_text"))
+    repaired = P.clean_pages(pages, key).select(key, "pages_processed", "clean_text")
     judged = repaired.withColumn("quality", Q.report(F.col("clean_text")))
     return judged.withColumn("ok", Q.gate(F.col("clean_text"), F.col("quality.quality_level")))
 

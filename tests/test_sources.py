@@ -119,3 +119,20 @@ def test_stream_of_lines_is_stored_once(spark, tmp_path):
     for _ in range(2):
         ingest(spark, str(tmp_path / "in"), table, HashProvider(4), str(tmp_path / "check")).awaitTermination()
     assert table.count() == 4
+
+
+def test_pages_cleaned_one_by_one_equal_whole_texts(spark):
+    import random
+
+    from quillmill.functions import text as T
+
+    rng = random.Random(5)
+    bits = ["Head of all", "Page 3", "12", "", " ", "\x01", "\x01 ", "\t", "\u00a0 wide", "  begins late and goes on to forty signs", "short line", "- item", "end.", "exam-", "ple here", "e\u0301\ufb01n", "\u2014", "\r", "x\x0cy", "\u0301mark", "a", "\n\n", "\u00adsoft"]
+    rows = [(f"k{k}", n, None if rng.random() < 0.03 else "\n".join(rng.choice(bits) for _ in range(rng.randrange(7)))) for k in range(150) for n in range(1, rng.choice([1, 2, 3, 4, 6]) + 1)]
+    frame = spark.createDataFrame(rows, "k string, page_number int, page string")
+    whole = pages.filter_headers_footers(frame, "k").select("k", "pages_processed", T.normalize(F.col("filtered_text")).alias("x")).select("k", "pages_processed", T.repair_wraps(F.col("x")).alias("text"))
+    own = pages.clean_pages(frame, "k").select("k", "pages_processed", "clean_text")
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, whole.collect()))
+    # Nothing but the joining of pages is left to do on a whole document.
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") > plan.index("ObjectHashAggregate")
